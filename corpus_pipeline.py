@@ -1,18 +1,55 @@
-"""Cleaning of a corpus in stages, each by one corpus operator."""
+"""Cleaning of a corpus in stages, each by one corpus operator.
+
+Every stage takes the whole of what its predecessor kept. All but the last
+return the columns of documents; a stage that decides on rows keeps or drops
+them whole. Rows with a null doc_id are kept by all filters but the quality
+rules, which judge texts alone; an empty table passes through."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import packing
+from tracewright.llm import language_id, near_dedup, packing, pii, quality
 from tracewright.llm.common import table, written
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language the compression margins leave open, or that have none."""
+    labelled = docs.filter(~language_id.held_out()).select(F.col("doc_id").alias("key"), "text", "lang")
+    return language_id.identified(docs, language_id.learned(labelled)).filter(~F.col("lang_rejected")).select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rule or whose posterior quality is low."""
+    verdicts = quality.quality_rules(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest doc_id, of each group of near duplicates."""
+    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return known.unionByName(docs.filter("doc_id is null"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts; no document goes."""
+    return pii.redact(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences; its rows are the pieces."""
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
 #: Trained stages and packing have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 

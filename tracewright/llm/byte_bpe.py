@@ -23,8 +23,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: The same classes for texts whose code points are all below 256.
 _SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 NARROW = rf" ?[{_LETTER}]+| ?[{_NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Merged pre-tokens kept by a task, and the longest that is kept.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: Merged pre-tokens kept in each of two generations, and the longest that is kept.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -45,12 +45,13 @@ class _Memory(dict):
 
     def __init__(self, proven: dict[str, bytes], merge: Callable[[bytes], list[int]]) -> None:
         super().__init__(proven)
-        self._proven, self._merge = proven, merge
+        self._proven, self._merge, self._older = proven, merge, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self._merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        ids = self._older.get(piece) or array("I", self._merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) > len(self._proven) + REMEMBERED:
+                self._older = dict(self)
                 self.clear()
                 self.update(self._proven)
             self[piece] = ids

@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from .common import by_batch
 
 #: Bounds of the fitted sample: texts a language, and bytes of a dictionary.
-SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 96_000
-#: Characters compressed at once, compression level, and the share of the size by which the best must win.
-BLOCK_CHARS, LEVEL, MARGIN = 2_000, 3, 0.01
+SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 32_000
+#: Characters compressed at once, compression level and shortest match, and the share of the size by which the best must win.
+BLOCK_CHARS, LEVEL, MATCH, MARGIN = 2_000, 9, 3, 0.01
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -48,7 +48,7 @@ def learned(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONA
     chosen = usable.filter(place < fractions).select("lang", "key", F.substring("text", 1, 4 * share).alias("text"))
     rows = sorted((tuple(r) for r in chosen.collect()), key=lambda r: (r[0], str(r[1]), r[2]))
     out: dict[str, bytes] = {}
-    for lang in sorted(counts):
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):  # ties go to the most frequent
         own = [x for x in (reduced(r[2])[:share] for r in rows if r[0] == lang) if x]
         if own:
             each = max(200, size // len(own))
@@ -60,8 +60,8 @@ class Compared:
     """Compressed sizes of a text under each language's dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
-        self.languages = sorted(dictionaries)
-        params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.languages = list(dictionaries)
+        params = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
         self._by = []
         for lang in self.languages:
             d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
