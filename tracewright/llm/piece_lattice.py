@@ -39,6 +39,7 @@ class Model:
     unknown: int
     longest: int
     newline_alone: bool
+    joined: frozenset[str]  # pairs of characters that some piece holds side by side
     library: sentencepiece.SentencePieceProcessor
 
 
@@ -84,7 +85,7 @@ def load(path: str) -> Model:
             pieces[p] = (i, library.get_score(i))
     if any(SPACE in p.lstrip(SPACE) for p in pieces):
         raise ValueError("a piece goes over the end of a word")
-    return Model(kind, pieces, raw, library.unk_id(), max(map(len, pieces)), not any("\n" in p for p in pieces), library)
+    return Model(kind, pieces, raw, library.unk_id(), max(map(len, pieces)), not any("\n" in p for p in pieces), frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1)), library)
 
 
 def words(model: Model, text: str) -> list[str]:
@@ -95,8 +96,15 @@ def words(model: Model, text: str) -> list[str]:
 
 def edges(model: Model, word: str) -> dict[tuple[int, int], tuple[int, float]]:
     """The lattice of a word: its substrings of bounded length that are pieces."""
-    get, n, most = model.pieces.get, len(word), model.longest + 1
-    return {(a, b): e for a in range(n) for b in range(a + 1, min(n + 1, a + most)) if (e := get(word[a:b])) is not None}
+    spans, slices = _spans(len(word), model.longest)
+    return {p: e for p, e in zip(spans, map(model.pieces.get, [word[x] for x in slices])) if e is not None}
+
+
+@lru_cache(maxsize=256)
+def _spans(n: int, longest: int) -> tuple[list[tuple[int, int]], list[slice]]:
+    """All (start, end) of substrings of bounded length, and the slices that take them."""
+    spans = [(a, b) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1)]
+    return spans, [slice(*p) for p in spans]
 
 
 def fold(model: Model, word: str) -> list[int]:
@@ -143,7 +151,14 @@ class _Memory(dict):
         self._model, self._older = model, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._older.get(word) or array("I", fold(self._model, word)).tobytes()
+        ids = self._older.get(word)
+        if ids is None:
+            joined = self._model.joined
+            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined] if self._model.bytes else []
+            if cuts:  # no edge crosses these
+                ids = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+            else:
+                ids = array("I", fold(self._model, word)).tobytes()
         if len(word) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self._older = dict(self)
