@@ -250,7 +250,7 @@ def encode_words(spark: SparkSession, distinct_words: DataFrame, path: str) -> D
         grouped = grouped.withColumn("cuts", F.expr(fold_sql))
     else:
         floor = min(s for _, s in model.pieces.values()) - 10
-        into = f"transform(sequence(greatest(0, b - {model.longest}), b - 1), a -> struct(best[a].s + coalesce(filter(edges, e -> e.a = a and e.b = b)[0].score, if(b = a + 1, {floor}D, double('-Infinity'))) as s, -a as first, a as a))"
+        into = f"transform(sequence(greatest(0, b - {model.longest}), b - 1), a -> struct(best[a].s + coalesce(get(filter(edges, e -> e.a = a and e.b = b), 0).score, if(b = a + 1, {floor}D, double('-Infinity'))) as s, -a as first, a as a))"
         fold_sql = f"aggregate(sequence(1, length(word)), array(struct(0D as s, 0 as first, 0 as a)), (best, b) -> array_append(best, array_max({into})))"
         back = "aggregate(sequence(1, length(word)), array(length(word)), (cuts, k) -> if(cuts[0] = 0, cuts, array_prepend(cuts, best[cuts[0]].a)))"
         grouped = grouped.withColumn("best", F.expr(fold_sql)).withColumn("cuts", F.expr(back))
