@@ -2,8 +2,8 @@
 
 Every stage takes the whole of what its predecessor kept. All but the last
 return the columns of documents; a stage that decides on rows keeps or drops
-them whole. Rows with a null doc_id are kept by all filters but the quality
-rules, which judge texts alone; an empty table passes through."""
+them whole. Rows with a null doc_id are judged like others; an empty table
+passes through."""
 
 from __future__ import annotations
 
@@ -22,8 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rule or whose posterior quality is low."""
-    verdicts = quality.quality_rules(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return quality.judged(docs).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,10 +33,10 @@ RULES = (
 RATES = tuple[float, list[float], list[float]]
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """Counts of each whole text; a null text counts as one without words."""
-    t = F.coalesce("text", F.lit(""))
-    d = documents_of(documents).select("doc_id", t.alias("text"))
+def features(documents: DataFrame, carry: list[str]) -> DataFrame:
+    """Counts of each whole text, with some columns of its row as `row`; a null text counts as one without words."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"), F.struct(*carry).alias("row"))
     d = d.withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
     d = d.withColumn("n_words", F.size("words").cast("long"))
@@ -51,6 +51,7 @@ def features(documents: DataFrame) -> DataFrame:
         return F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
 
     return d.select(
+        "row",
         "doc_id",
         "n_words",
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
@@ -103,13 +104,13 @@ def _odds(rates: RATES, pattern: tuple[int, ...]) -> float:
     return math.log(rates[0] / (1 - rates[0])) + sum(w for w, v in zip(weights(rates), pattern, strict=True) if v)
 
 
-def quality_rules(documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, kept of every row.
+def judged(documents: DataFrame, least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns to carry: all, if none are named), doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, kept of every row.
 
     Null and empty texts have no words and fail the base rule. Repeated rows
     count as often as they occur; other columns are ignored; an empty table
     gives no rows."""
-    voted = written(votes(features(documents)))
+    voted = written(votes(features(documents, carry or documents.columns)))  # one pass over the texts serves the estimate and the verdicts
     names = [f"vote_{n}" for n, _, _ in RULES]
     rows = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 2 to the number of rules
     rates = estimate(sorted((tuple(r[n] for n in names), r["n"]) for r in rows))
@@ -118,4 +119,9 @@ def quality_rules(documents: DataFrame, least: float = 0.5) -> DataFrame:
         odds = odds + F.when(F.col(name) != 0, F.lit(w)).otherwise(F.lit(0.0))
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     out = voted.withColumn("base_failed", failed).withColumn("p_good", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"))
+    return out.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"))
+
+
+def quality_rules(documents: DataFrame, least: float = 0.5) -> DataFrame:
+    """The verdicts of judged() without the rows: the counts of the base rule, base_failed, p_good and kept."""
+    return judged(documents_of(documents), least, ["doc_id"]).drop("row")
