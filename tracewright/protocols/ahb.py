@@ -15,6 +15,7 @@ from ..operators.sampling import carried, states
 from ..operators.triggers import edge
 from ..results import DEFAULT_MAX, Result, checked_limit
 from . import profiles as P
+from .buses import ISSUES
 from .mapping import mapped
 
 ORDER = ("reset", "data-stall", "data-complete", "address", "idle", "busy", "desynchronized")
@@ -120,9 +121,9 @@ def extract_ahb(dump: Dump, maps: dict[str, str] | None = None, includes: list[s
 
     def shape(r) -> dict:
         more = {k: r[k] for k in ("transfer", "direction") if r[k] is not None}
-        return {"time": dump.time.text(r["t"]), "sample_time": dump.time.text(r["sample_t"]), "profile": profile, "event": r["event"], **more, "payload": [p.asDict() for p in r["payload"]]}
+        return {"time": dump.time.text(r["t"]), "sample_time": dump.time.text(r["sample_t"]), "profile": profile, "event": r["event"], **more, "payload": {p["path"]: p["value"] for p in r["payload"]}}
 
-    context = {"profile": profile, "initial_data_phase": _initial(dump, found, scope, low)}
+    context = {"name": "ahb", "profile": profile, "issue": ISSUES["ahb"], "include_stall": include_stall, "include_idle": include_idle, "include_busy": include_busy, "mappings": found, "initial_data_phase": _initial(dump, found, scope, low)}
     return Result("extract ahb", df.drop("phase"), ["t", "ord", "dump_id"], most, notes, context, "no AHB events found in selected time range", shape)
 
 

@@ -26,6 +26,7 @@ def _all(*names: str | None) -> str:
 
 
 def _profile(table, profile: str, protocol: str):
+    """The entry of a profile in a table of profiles, or nothing for a plain list of them."""
     if profile not in table:
         raise WaveError("args", f"unknown {protocol} profile '{profile}'")
     return table[profile] if isinstance(table, dict) else None
@@ -118,19 +119,33 @@ def axi_standards(profile: str) -> list[str]:
     return out
 
 
-def _extracted(dump: Dump, command: str, built: tuple[list[Source], list[list[str]]], notes: list[Diagnostic], profile: str, scope: str | None, start, end, limit) -> Result:
+#: Issues of the specifications that profiles follow.
+ISSUES = {"apb": "E", "atb": "C", "axistream": "B", "ahb": "C"}
+
+
+def _extracted(dump: Dump, command: str, built: tuple[list[Source], list[list[str]]], notes: list[Diagnostic], profile: str, scope: str | None, start, end, limit, found: Maps, **more) -> Result:
+    """One extraction of all sources; payloads are keyed by standard name."""
     sources, standards = built
     names = [dict(zip(s.payload, own, strict=True)) for s, own in zip(sources, standards, strict=True)]
-    return extract(dump, sources, start, end, scope, limit, command=f"extract {command}", diagnostics=notes, context={"profile": profile}, names=names)
+    issue = P.AXI[profile][0] if command == "axi" else ISSUES[command]
+    context = {"name": command, "profile": profile, "issue": issue, **more, "mappings": found}
+    result = extract(dump, sources, start, end, scope, limit, command=f"extract {command}", diagnostics=notes, context=context, names=names)
+    inner = result.shape
+    result.shape = lambda r: {k: v for k, v in keyed(inner(r)).items() if k != "source"}
+    return result
+
+
+def keyed(row: dict) -> dict:
+    return {**row, "payload": {p["path"]: p["value"] for p in row["payload"]}}
 
 
 def extract_apb(dump: Dump, maps: Maps | None = None, includes: list[str] | None = None, profile: str = "apb4", pready_mode: str = "mapped", include_wait: bool = False, scope: str | None = None, start: str | None = None, end: str | None = None, limit: int | str | None = DEFAULT_MAX) -> Result:
     """Setup and access rows with direction; each row has the payload that its direction gives meaning to."""
     found, notes = mapped(dump, "APB", _profile(P.APB, profile, "APB"), maps or {}, includes or [], scope)
-    result = _extracted(dump, "apb", apb_sources(found, profile, pready_mode, include_wait), notes, profile, scope, start, end, limit)
+    result = _extracted(dump, "apb", apb_sources(found, profile, pready_mode, include_wait), notes, profile, scope, start, end, limit, found, pready_mode=pready_mode, include_wait=include_wait)
     result.df = with_direction(result.df)
     inner = result.shape
-    result.shape = lambda r: {k: v for k, v in inner(r).items() if k != "source"} | {"direction": r["direction"]}
+    result.shape = lambda r: inner(r) | {"direction": r["direction"]}
     return result
 
 
@@ -144,16 +159,16 @@ def with_direction(df: DataFrame) -> DataFrame:
 
 def extract_atb(dump: Dump, maps: Maps | None = None, includes: list[str] | None = None, profile: str = "atb-c", scope: str | None = None, start: str | None = None, end: str | None = None, limit: int | str | None = DEFAULT_MAX) -> Result:
     found, notes = mapped(dump, "ATB", _profile(P.ATB, profile, "ATB"), maps or {}, includes or [], scope, runs=False)
-    return _extracted(dump, "atb", atb_sources(found, profile), notes, profile, scope, start, end, limit)
+    return _extracted(dump, "atb", atb_sources(found, profile), notes, profile, scope, start, end, limit, found)
 
 
 def extract_axi(dump: Dump, maps: Maps | None = None, includes: list[str] | None = None, profile: str = "axi4", scope: str | None = None, start: str | None = None, end: str | None = None, limit: int | str | None = DEFAULT_MAX) -> Result:
     _profile(P.AXI, profile, "AXI")
     found, notes = mapped(dump, "AXI", axi_standards(profile), maps or {}, includes or [], scope, P.AXI_CONTEXT)
-    return _extracted(dump, "axi", axi_sources(found, profile), notes, profile, scope, start, end, limit)
+    return _extracted(dump, "axi", axi_sources(found, profile), notes, profile, scope, start, end, limit, found)
 
 
 def extract_axistream(dump: Dump, maps: Maps | None = None, includes: list[str] | None = None, profile: str = "axi4-stream", tready_mode: str = "mapped", scope: str | None = None, start: str | None = None, end: str | None = None, limit: int | str | None = DEFAULT_MAX) -> Result:
     _profile(P.STREAM, profile, "AXI-Stream")
     found, notes = mapped(dump, "AXI-Stream", P.STREAM_SIGNALS, maps or {}, includes or [], scope, P.AXI_CONTEXT)
-    return _extracted(dump, "axistream", stream_sources(found, profile, tready_mode), notes, profile, scope, start, end, limit)
+    return _extracted(dump, "axistream", stream_sources(found, profile, tready_mode), notes, profile, scope, start, end, limit, found, tready_mode=tready_mode)

@@ -60,7 +60,7 @@ def checked_limit(limit: int | str | None) -> int | None:
 
 def to_json(result: Result) -> str:
     data, notes = result.rows()
-    body: object = data if not result.context else {**result.context, "rows": data}
+    body: object = data if not result.context else {**result.context, "events": data}
     return json.dumps({"$schema": f"output/{result.command.replace(' ', '-')}", "command": result.command, "data": body, "diagnostics": [vars(d) for d in notes]}, ensure_ascii=False)
 
 
@@ -68,10 +68,10 @@ def to_jsonl(result: Result) -> Iterator[str]:
     """begin, item*, diagnostic*, end records; rows come from the cluster as they are read."""
     n = 0
 
-    def record(kind: str, **more) -> str:
+    def record(record_type: str, **more) -> str:
         nonlocal n
         n += 1
-        return json.dumps({"type": kind, "seq": n - 1, **more}, ensure_ascii=False)
+        return json.dumps({"type": record_type, "seq": n - 1, **more}, ensure_ascii=False)
 
     yield record("begin", command=result.command, **({"context": result.context} if result.context else {}))
     notes = ([Diagnostic("W0001", "limit disabled: --max=unlimited")] if result.limit is None and result.limited else []) + list(result.diagnostics)
@@ -108,6 +108,8 @@ def _line(command: str, row: dict) -> str:
     if row.get("sample_time", row.get("time")) != row.get("time") or command.startswith("extract"):
         head += f" sample@{row['sample_time']}"
     pairs = row.get("signals") or row.get("payload") or []
+    if isinstance(pairs, dict):
+        pairs = [{"path": k, "value": v} for k, v in pairs.items()]
     named = [str(row[k]) for k in ("source", "event", "direction", "kind") if row.get(k)]
     return " ".join([head, *named, *(f"{p['path']}={p['value']}" for p in pairs)]).strip()
 
