@@ -169,3 +169,22 @@ def test_event_errors(text, code):
 def test_event_terms():
     terms = events.parse("posedge a iff (b or c) && d, edge e or *")
     assert [(t.kind, t.name, t.iff) for t in terms] == [("posedge", "a", "(b or c) && d"), ("edge", "e", None), ("any", None, None)]
+
+
+def test_small_buckets_give_the_same(spark, monkeypatch):
+    """Carrying over buckets of time gives what one bucket gives."""
+    from tracewright.operators import sampling
+
+    def everything():
+        d, p, a = rtl(spark), m2(spark), ahb(spark)
+        return [
+            shown(change(d, ["data", "clk"], "posedge clk", scope="top")),
+            shown(change(d, ["data"], "*", scope="top", mode=NATIVE)),
+            shown(property_check(d, "edge top.clk", "top.valid")),
+            shown(property_check(p, "*", "top.data == 8'h0f", mode=NATIVE)),
+            [tuple(sorted(map(str, r.items()))) for r in extract_ahb(a, {"hclk": "clk"}, ["^ahb_lite_h_"], scope="top", include_stall=True).rows()[0]],
+        ]
+
+    want = everything()
+    monkeypatch.setattr(sampling, "BUCKET", 7)
+    assert everything() == want

@@ -68,6 +68,7 @@ class Dump:
     scopes: DataFrame
     meta: DataFrame
     _known: dict[str, Signal | None] = field(default_factory=dict)
+    bounds: Timebase | None = None  # what meta says, where that is known already
 
     @property
     def spark(self) -> SparkSession:
@@ -75,6 +76,8 @@ class Dump:
 
     @cached_property
     def time(self) -> Timebase:
+        if self.bounds is not None:
+            return self.bounds
         row = self.meta.agg(F.min("tick_value"), F.min("tick_unit"), F.min("start_raw"), F.max("end_raw")).first()
         if row is None or row[0] is None:
             return Timebase(1, "s", 0, 0)
@@ -113,6 +116,11 @@ class Dump:
         return f"{scope}.{name}"
 
 
+def known_signals(entries: list[tuple]) -> dict[str, Signal | None]:
+    """A catalog given as SIGNALS rows, for lookups without a job."""
+    return {e[1]: Signal(e[0], e[1], e[4], e[5], type_of(e[4], e[5], e[9])) for e in entries}
+
+
 def _signal(row: T.Row) -> Signal:
     return Signal(row["sig_id"], row["path"], row["kind"], row["width"], type_of(row["kind"], row["width"], row["labels"]))
 
@@ -138,4 +146,6 @@ def dump_from_lists(spark: SparkSession, changes: list[tuple], signals: list[tup
         spark.createDataFrame(entries, SIGNALS),
         spark.createDataFrame(nodes, SCOPES),
         spark.createDataFrame([(0, tick[0], tick[1], start, end)], META),
+        known_signals(entries),
+        Timebase(*tick, start, end),
     )

@@ -19,10 +19,14 @@ from ..dump import Dump, Signal
 BUCKET = 1 << 20
 
 
-def carried(df: DataFrame, values: dict[str, Column], order: list[str], before: bool = False, keys: tuple[str, ...] = ("dump_id", "bucket")) -> DataFrame:
+def carried(df: DataFrame, values: dict[str, Column], order: list[str], before: bool = False, keys: tuple[str, ...] = ("dump_id", "bucket"), single: bool = False) -> DataFrame:
     """df with the last non-null value of each column up to (or, if `before`, only before) every row.
 
-    keys are the partition and, last, the bucket of its order."""
+    keys are the partition and, last, the bucket of its order; single says that
+    there is one bucket, which then has nothing to take over."""
+    if single:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+        return df.withColumns({n: F.last(c, True).over(whole) for n, c in values.items()})
     raw = df.withColumns({f"__{n}": c for n, c in values.items()})
     rows = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
     place = F.struct(*order)
@@ -34,6 +38,11 @@ def carried(df: DataFrame, values: dict[str, Column], order: list[str], before:
     return filled.drop(*(f"__{n}" for n in values), *(f"__{n}_in" for n in values))
 
 
+def one_bucket(dump: Dump) -> bool:
+    """Whether all times of a dump fall in one bucket."""
+    return dump.time.start // BUCKET == dump.time.end // BUCKET
+
+
 def value_column(signal: Signal) -> Column:
     return F.col({"real": "real", "string": "str"}.get(signal.type.kind, "bits"))
 
@@ -83,7 +92,7 @@ def states(dump: Dump, refs: list[Signal], start: int, end: int) -> States:
     ticks = own.groupBy("dump_id", "t").agg(*aggregates).withColumn("bucket", F.expr(f"t div {BUCKET}"))
     held = [k for k, s in enumerate(refs) if s.path not in events]
     heard = [k for k, s in enumerate(refs) if s.path in events]
-    df = carried(ticks, {f"p{k}": F.col(f"n{k}") for k in held} | {f"last{k}": F.when(F.col(f"o{k}"), F.col("t")) for k in heard}, ["t"], before=True)
+    df = carried(ticks, {f"p{k}": F.col(f"n{k}") for k in held} | {f"last{k}": F.when(F.col(f"o{k}"), F.col("t")) for k in heard}, ["t"], before=True, single=one_bucket(dump))
     df = df.withColumns({f"c{k}": F.coalesce(f"n{k}", f"p{k}") for k in held}).withColumns({f"q{k}": F.coalesce(F.col(f"last{k}") == F.col("t") - 1, F.lit(False)) for k in heard}).withColumns({f"o{k}": F.coalesce(f"o{k}", F.lit(False)) for k in heard})
     df = df.join(dump.meta.select("dump_id", "start_raw"), "dump_id")
     keep = ["dump_id", "t", "bucket", "start_raw", *(f"{x}{k}" for k in held for x in "cp"), *(f"{x}{k}" for k in heard for x in "oq")]

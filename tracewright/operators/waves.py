@@ -16,7 +16,7 @@ from ..plans import events as ev
 from ..plans.binding import Bound, Lookup, bound
 from ..plans.columns import holds
 from ..results import DEFAULT_MAX, Result, checked_limit
-from .sampling import BUCKET, States, carried, state_at, states
+from .sampling import carried, one_bucket, state_at, states
 from .triggers import matched
 
 NATIVE, PRE_EDGE = "native", "pre-edge"
@@ -113,7 +113,7 @@ def change_rows(dump: Dump, signals: list[Signal], terms: list[ev.Term], start:
         rows = rows.filter(moved & fired)
         return rows.select("dump_id", "t", sample_t.alias("sample_t"), *(st.now(s.path).alias(f"s{column[s.path]}") for s in distinct)), column
     rows = rows.filter(fired & exists).select("dump_id", "bucket", "t", sample_t.alias("sample_t"), *(st.before(s.path).alias(f"s{k}") for k, s in enumerate(distinct)))
-    rows = carried(rows, {f"b{k}": F.col(f"s{k}") for k in range(len(distinct))}, ["t"], before=True)
+    rows = carried(rows, {f"b{k}": F.col(f"s{k}") for k in range(len(distinct))}, ["t"], before=True, single=one_bucket(dump))
     seed = state_at(dump, distinct, start).select("dump_id", *(F.col(f"c{k}").alias(f"d{k}") for k in range(len(distinct))))
     rows = rows.join(seed, "dump_id")
     moved = reduce(or_, (differs(F.col(f"s{k}"), F.coalesce(f"b{k}", f"d{k}")) for k in range(len(distinct))))
@@ -152,7 +152,7 @@ def property_rows(dump: Dump, terms: list[ev.Term], test: Bound, start: int, end
     refs = [dump.signal(p) for p in tracked]
     seeds = state_at(dump, refs, start) if refs else dump.meta.select("dump_id")
     seed = seeds.select("dump_id", holds(test, lambda p: F.col(f"c{tracked.index(p)}")).alias("seed"))
-    rows = carried(rows.filter(F.col("t") > start), {"last": F.col("decision")}, ["t"], before=True).join(seed, "dump_id")
+    rows = carried(rows.filter(F.col("t") > start), {"last": F.col("decision")}, ["t"], before=True, single=one_bucket(dump)).join(seed, "dump_id")
     rows = rows.withColumn("last", F.coalesce("last", "seed")).filter("decision <> last")
     rows = rows.select("dump_id", "t", "sample_t", F.when(F.col("decision"), "assert").otherwise("deassert").alias("kind"))
     return rows if capture == "switch" else rows.filter(F.col("kind") == capture)
@@ -241,4 +241,4 @@ def extract(dump: Dump, sources: list[Source], start: str | None = None, end: st
     return Result(command, df, ["t", "ord", "dump_id"], most, list(diagnostics or []), dict(context or {}), "no matching rows found in selected time range", shape)
 
 
-__all__ = ["BUCKET", "Source", "States", "change", "extract", "property_check", "value"]
+__all__ = ["Source", "change", "extract", "property_check", "value"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..dump import Dump
 from ..errors import WaveError
 from ..functions.bits import literal_text
-from ..operators.sampling import carried, states
+from ..operators.sampling import carried, one_bucket, states
 from ..operators.triggers import edge
 from ..results import DEFAULT_MAX, Result, checked_limit
 from . import profiles as P
@@ -50,7 +50,7 @@ def ahb_rows(dump: Dump, found: dict[str, str], end: int, scope: str | None = No
         .when(trans.isin("00", "01"), phase("empty"))
         .otherwise(phase("desynchronized"))
     )
-    rows = carried(rows.withColumn("setter", setter).withColumn("held", reset), {"phase": F.col("setter"), "last_reset": F.col("held")}, ["t"], before=True)
+    rows = carried(rows.withColumn("setter", setter).withColumn("held", reset), {"phase": F.col("setter"), "last_reset": F.col("held")}, ["t"], before=True, single=one_bucket(dump))
     state = F.coalesce(F.col("phase.name"), F.lit("desynchronized"))
     good = (reset == "1") & ready.isin("0", "1")
     lost = (state != "desynchronized") & (((reset != "0") & ~good) | (good & (ready == "1") & moves.isNull() & ~trans.isin("00", "01")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dump import META, SIGNALS, Dump, type_of
+from ..dump import META, SIGNALS, Dump, known_signals, type_of
+from ..functions.timebase import Timebase
 
 #: Signals of the bus: path, kind, width, labels.
 STATES = ("click", "error", "purchase", "signup", "view")
@@ -58,7 +59,8 @@ def bus_of(events: DataFrame, fleet: bool = False) -> Dump:
     meta = dumps.select("dump_id", F.lit(1).cast("long").alias("tick_value"), F.lit("ns").alias("tick_unit"), F.lit(0).cast("long").alias("start_raw"), F.lit(0 if end is None else end * 10 + 10).cast("long").alias("end_raw"))
     entries = [(n, p, "top", p.rpartition(".")[2], k, w, type_of(k, w, lab).kind, type_of(k, w, lab).four, type_of(k, w, lab).signed, lab) for n, (p, k, w, lab) in enumerate(BUS)]
     scopes = spark.createDataFrame([("top", ["top"], 0, "module")], "path string, parts array<string>, depth int, kind string")
-    return Dump(live.unionByName(seed), spark.createDataFrame(entries, SIGNALS), scopes, meta)
+    bounds = Timebase(1, "ns", 0, 0 if end is None else end * 10 + 10)
+    return Dump(live.unionByName(seed), spark.createDataFrame(entries, SIGNALS), scopes, meta, known_signals(entries), bounds)
 
 
 def hierarchy_dump(spark: SparkSession, sf_dir: str) -> Dump:

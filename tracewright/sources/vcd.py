@@ -8,8 +8,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dump import META, SCOPES, SIGNALS, Dump, type_of
+from ..dump import META, SCOPES, SIGNALS, Dump, known_signals, type_of
 from ..errors import WaveError
+from ..functions.timebase import Timebase
 
 #: Spellings of kinds that differ from the stable ones.
 KINDS = {"shortint": "short_int", "longint": "long_int", "shortreal": "short_real", "realtime": "real_time", "triand": "tri_and", "trior": "tri_or", "trireg": "tri_reg", "real_parameter": "real_parameter", "bit_vector": "bit_vector"}
@@ -105,6 +106,8 @@ def read_vcd(spark: SparkSession, path: str) -> Dump:
         spark.createDataFrame(signals, SIGNALS),
         spark.createDataFrame(nodes, SCOPES),
         spark.createDataFrame([(0, tick, unit, start, end)], META),
+        known_signals(signals),
+        Timebase(tick, unit, start, end),
     )
 
 
