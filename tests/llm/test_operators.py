@@ -156,6 +156,8 @@ def test_html_main_text(spark):
     <header>Site</header><article><h1>Head&nbsp;line &lt;1&gt;</h1><p><b>First   part<br><p>Second &copy; <i>part</i> &am</p><aside>Also</aside>
     <div class=comments><p>Nice post</p></div><form>Sign up</form></article><footer>&copy; us</footer></body></html>"""
     assert main_text.main_text(page) == "Head line <1>\nFirst part\nSecond © part &am"
+    plain = "<body><div id=page><div class=top><a href=/>Home</a> <a href=/x>News</a> <a href=/y>Sport</a></div><div id=post><h1>A title</h1><div><p>" + "First words. " * 20 + "<p>" + "Second words. " * 20 + "</div></div><div class=related><p>Read on</p></div></div>"
+    assert main_text.main_text(plain).split("\n") == ["A title", ("First words. " * 20).strip(), ("Second words. " * 20).strip()]
     deep = "<div>" * 5000 + "<p>" + "word " * 50 + "</p>"
     assert main_text.main_text(deep).startswith("word word")
     assert main_text.main_text("<p>no body, one line") == "no body, one line"

@@ -161,11 +161,20 @@ def main_text(page: str | None) -> str:
     else:
         while top is not root and top.tag not in BLOCKS:
             top = top.parent
+        while top is not root and top.parent is not root and all(_belongs(n, least) for n in top.parent.parts if n is not top):
+            top = top.parent
     lines: list[str] = []
     _collect(top, top, least, lines)
     return "\n".join(lines)
 
 
+def _belongs(part: Node | str, least: float) -> bool:
+    """Whether what stands beside the main part is of the article: headings, and blocks over the threshold."""
+    if isinstance(part, str):
+        return not part.strip()
+    return part.noise or not part.chars or part.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or part.density >= least and part.link_chars < 0.3 * part.chars
+
+
 def _within(node: Node, top: Node) -> bool:
     while node is not None and node is not top:
         node = node.parent
