@@ -53,8 +53,8 @@ def bus_of(events: DataFrame, fleet: bool = False) -> Dump:
     rows = rows.select("dump_id", (F.col("event_id") * 10 + 10).alias("t"), F.expr(f"explode(array_compact(array({cells})))").alias("c"))
     live = rows.select("dump_id", "c.sig_id", "t", F.lit(0).cast("long").alias("seq"), "c.bits", "c.real", F.lit(None).cast("string").alias("str"))
     dumps = spark.range(FLEET).select(F.col("id").alias("dump_id")) if fleet else spark.range(1).select(F.col("id").alias("dump_id"))
-    zero = [(n, "0" * (w or 0) if k not in ("event", "real") else None, 0.0 if k == "real" else None) for n, (_, k, w, _) in enumerate(BUS) if k != "event"]
-    seed = dumps.crossJoin(F.broadcast(spark.createDataFrame(zero, "sig_id long, bits string, real double"))).select("dump_id", "sig_id", F.lit(0).cast("long").alias("t"), F.lit(-1).cast("long").alias("seq"), "bits", "real", F.lit(None).cast("string").alias("str"))
+    zero = ", ".join(f"struct({n}L as sig_id, {'cast(null as string)' if k == 'real' else repr('0' * (w or 0))} as bits, {'0D' if k == 'real' else 'cast(null as double)'} as real)" for n, (_, k, w, _) in enumerate(BUS) if k != "event")
+    seed = dumps.select("dump_id", F.expr(f"explode(array({zero}))").alias("z")).select("dump_id", "z.sig_id", F.lit(0).cast("long").alias("t"), F.lit(-1).cast("long").alias("seq"), "z.bits", "z.real", F.lit(None).cast("string").alias("str"))
     end = events.agg(F.max("event_id")).first()[0]
     meta = dumps.select("dump_id", F.lit(1).cast("long").alias("tick_value"), F.lit("ns").alias("tick_unit"), F.lit(0).cast("long").alias("start_raw"), F.lit(0 if end is None else end * 10 + 10).cast("long").alias("end_raw"))
     entries = [(n, p, "top", p.rpartition(".")[2], k, w, type_of(k, w, lab).kind, type_of(k, w, lab).four, type_of(k, w, lab).signed, lab) for n, (p, k, w, lab) in enumerate(BUS)]
