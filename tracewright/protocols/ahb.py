@@ -25,23 +25,27 @@ def _direction(write: Column) -> Column:
     return F.when(write == "0", "read").when(write == "1", "write").otherwise("unknown")
 
 
-def ahb_rows(dump: Dump, found: dict[str, str], end: int, scope: str | None = None, stall: bool = False, idle: bool = False, busy: bool = False) -> DataFrame:
-    """dump_id, t, sample_t, ord, event, transfer, direction, phase (the last state set before t) and s_<standard> bits, from the dump's start."""
+def _inputs(found: dict[str, str]) -> tuple[Column, Column, Column, Column, Column]:
+    """reset, ready, transfer and write bits at an edge, and the kind of transfer that begins."""
+    reset = F.coalesce(F.col("s_hresetn"), F.lit("x")) if "hresetn" in found else F.lit("1")
+    ready, trans = F.coalesce(F.col("s_hready"), F.lit("x")), F.coalesce(F.col("s_htrans"), F.lit("xx"))
+    return reset, ready, trans, F.coalesce(F.col("s_hwrite"), F.lit("x")), F.when(trans == "10", "nonseq").when(trans == "11", "seq")
+
+
+def ahb_edges(dump: Dump, found: dict[str, str], end: int, scope: str | None = None) -> DataFrame:
+    """Clock edges from the dump's start: dump_id, bucket, t, s_<standard> bits, and setter, the state that the edge sets (null: none)."""
     paths = {s: dump.scoped(n, scope) for s, n in found.items()}
     st = states(dump, [dump.signal(p) for p in paths.values()], dump.time.start, end)
     clock = paths["hclk"]
     at = {s: F.right(st.before(p), F.lit(1)) if s in ("hready", "hwrite", "hresetn", "hresp") else st.before(p) for s, p in paths.items()}
     edges = st.df.filter(edge("posedge", st.before(clock), st.now(clock)) & (F.col("t") > F.col("start_raw")))
     rows = edges.select("dump_id", "bucket", "t", *(c.alias(f"s_{s}") for s, c in at.items()))
-    reset = F.coalesce(F.col("s_hresetn"), F.lit("x")) if "hresetn" in found else F.lit("1")
-    ready, trans = F.coalesce(F.col("s_hready"), F.lit("x")), F.coalesce(F.col("s_htrans"), F.lit("xx"))
-    write = F.coalesce(F.col("s_hwrite"), F.lit("x"))
+    reset, ready, trans, write, moves = _inputs(found)
 
     def phase(name: str, transfer: Column | None = None, direction: Column | None = None) -> Column:
         none = F.lit(None).cast("string")
         return F.struct(F.lit(name).alias("name"), F.col("t").alias("t"), (none if transfer is None else transfer).alias("transfer"), (none if direction is None else direction).alias("direction"))
 
-    moves = F.when(trans == "10", "nonseq").when(trans == "11", "seq")
     setter = (
         F.when(reset == "0", phase("empty"))
         .when((reset != "1") | ~ready.isin("0", "1"), phase("desynchronized"))
@@ -50,7 +54,13 @@ def ahb_rows(dump: Dump, found: dict[str, str], end: int, scope: str | None = No
         .when(trans.isin("00", "01"), phase("empty"))
         .otherwise(phase("desynchronized"))
     )
-    rows = carried(rows.withColumn("setter", setter).withColumn("held", reset), {"phase": F.col("setter"), "last_reset": F.col("held")}, ["t"], before=True, single=one_bucket(dump))
+    return rows.withColumn("setter", setter)
+
+
+def ahb_rows(dump: Dump, found: dict[str, str], end: int, scope: str | None = None, stall: bool = False, idle: bool = False, busy: bool = False) -> DataFrame:
+    """dump_id, t, sample_t, ord, event, transfer, direction, phase (the last state set before t) and s_<standard> bits, from the dump's start."""
+    reset, ready, trans, write, moves = _inputs(found)
+    rows = carried(ahb_edges(dump, found, end, scope).withColumn("held", reset), {"phase": F.col("setter"), "last_reset": F.col("held")}, ["t"], before=True, single=one_bucket(dump))
     state = F.coalesce(F.col("phase.name"), F.lit("desynchronized"))
     good = (reset == "1") & ready.isin("0", "1")
     lost = (state != "desynchronized") & (((reset != "0") & ~good) | (good & (ready == "1") & moves.isNull() & ~trans.isin("00", "01")))
@@ -129,14 +139,9 @@ def extract_ahb(dump: Dump, maps: dict[str, str] | None = None, includes: list[s
 
 def _initial(dump: Dump, found: dict[str, str], scope: str | None, start: int) -> dict:
     """The state that edges before `start` leave."""
-    rows = ahb_rows(dump, found, start, scope, True, True, True)
-    last = rows.filter(F.col("t") < start).groupBy("t").agg(F.max_by(F.struct("event", "transfer", "direction", "sample_t"), "ord").alias("e")).orderBy(F.desc("t")).limit(64).collect()
-    for r in last:
-        e = r["e"]
-        if e["event"] == "address":
-            return {"state": "pending", "address": {"time": dump.time.text(r["t"]), "sample_time": dump.time.text(e["sample_t"]), "transfer": e["transfer"], "direction": e["direction"]}}
-        if e["event"] in ("reset", "idle", "busy"):
-            return {"state": "empty"}
-        if e["event"] == "desynchronized":
-            return {"state": "desynchronized"}
-    return {"state": "desynchronized"}
+    before = ahb_edges(dump, found, start, scope).filter((F.col("t") < start) & F.col("setter").isNotNull())
+    last = before.agg(F.max_by("setter", "t")).first()[0]
+    if last is None or last["name"] != "pending":
+        return {"state": "desynchronized" if last is None else last["name"]}
+    t = last["t"]
+    return {"state": "pending", "address": {"time": dump.time.text(t), "sample_time": dump.time.text(t - 1), "transfer": last["transfer"], "direction": last["direction"]}}
