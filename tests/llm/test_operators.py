@@ -166,6 +166,24 @@ def test_html_main_text(spark):
     assert len(found) == 4 and {r["n_chars"] for r in found if r["page_id"] != 1} == {0}
 
 
+def test_html_words_of_wrappers():
+    one, two, three = (f"{w} words of the article. " * 20 for w in ("First", "Second", "Third"))
+    lines = [x.strip() for x in (one, two, three)]
+    body = f"<p>{one}<p>{two}<p>{three}"
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "post comments-open", "with-footer"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>", body):
+            page = f"<body><div class=top><a href=/>Home</a></div><div class='{name}'>{inner}<div class=sidebar><p>About us</div></div></body>"
+            assert main_text.main_text(page).split("\n") == lines, (name, inner[:9])
+    short = "<p>Short text.</p>"
+    assert main_text.main_text(f"<body><div class=has-sidebar><article>{short}</article></div></body>") == "Short text."
+    comments = "<div id=comments>" + f"<p>{one}</p>" * 9 + "</div>"
+    assert main_text.main_text(f"<body><article>{body}</article>{comments}</body>").split("\n") == lines
+    inside = f"<body><article>{body}<div class=notice><p>{one}</p><p>{two}</p></div></article></body>"
+    assert main_text.main_text(inside).split("\n") == [*lines, *lines[:2]]
+    small = f"<body><article>{body}<div class=share>Share this<p>with all</div></article></body>"
+    assert main_text.main_text(small).split("\n") == lines
+
+
 def secrets_of(t):
     t = t or ""
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]

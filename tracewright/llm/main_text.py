@@ -34,31 +34,38 @@ NOISE_WORDS = frozenset(
     "login popup popover modal overlay paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist disqus respond reply replies "
     "share sharing social related recommended recommendations pagination pager widget widgets skip toc copyright legal disclaimer hidden".split()
 )
+#: A node that a word of its class or id suspects is noise up to so many characters outside links, or up to so large a share of the page's.
+LITTLE, SHARE = 200, 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "noise", "suspect", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False) -> None:
-        self.tag, self.parent, self.noise, self.parts = tag, parent, noise, []
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, suspect: bool = False) -> None:
+        self.tag, self.parent, self.noise, self.suspect, self.parts = tag, parent, noise, suspect, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noise(tag: str, attributes: str, inside_article: bool) -> bool:
+def _noise(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether a node is noise whatever it holds, and whether a word of its class or id suspects it."""
+    suspect = False
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return True, suspect
+    if not attributes or tag in ("html", "body"):
+        return False, suspect
+    named = tag in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        if named and name not in ("class", "id"):
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
-            return True
+            return True, suspect
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, suspect
         if name in ("class", "id") and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            suspect = True
+    return False, suspect
 
 
 def parsed(page: str) -> Node:
@@ -102,7 +109,7 @@ def parsed(page: str) -> Node:
                 up = up.parent
         if node.tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
             node = node.parent
-        made = Node(tag, node, _noise(tag, m[3], articles > 0))
+        made = Node(tag, node, *_noise(tag, m[3], articles > 0))
         node.parts.append(made)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
@@ -121,6 +128,8 @@ def measured(root: Node) -> list[Node]:
         order.append(node)
         stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.noise]
     for node in reversed(order):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         link = node.tag == "a"
         for p in node.parts:
             if isinstance(p, str):
@@ -143,22 +152,73 @@ def measured(root: Node) -> list[Node]:
     return order
 
 
+def _densest(order: list[Node]) -> Node:
+    return max(order, key=lambda x: x.total) if len(order) > 1 else order[0]
+
+
+def _named(order: list[Node], best: Node) -> Node | None:
+    """The outermost article or main that is the main part, if the page has one."""
+    for node in order:
+        if node.tag in ("article", "main") and node.chars >= 0.5 * best.chars and (_within(best, node) or _within(node, best)):
+            return node
+    return None
+
+
+def judged(root: Node) -> list[Node]:
+    """measured(), after suspect nodes have been found to be noise or not.
+
+    They are noise only if they hold little text outside links, or a small
+    share of the page's, and neither an article, a main nor the largest sum.
+    Where the rest of the page has a main part that is an article or main,
+    those outside of it do not compete with it."""
+    order = measured(root)
+    suspects = [n for n in order if n.suspect and n.tag not in ("article", "main")]
+    if not suspects:
+        return order
+    holds: set[Node] = set()
+
+    def hold(node: Node | None) -> None:
+        while node is not None and node not in holds:
+            holds.add(node)
+            node = node.parent
+
+    articles = [n for n in order if n.tag in ("article", "main") and not (n.suspect and n.chars <= SHARE * root.chars)]
+    for node in articles:
+        hold(node)
+    inside = set(articles)
+    for node in order:
+        if node.parent in inside:
+            inside.add(node)
+    beside = [s for s in suspects if s not in holds and s not in inside] if articles else []
+    for node in beside:
+        node.noise = True
+    rest = measured(root) if beside else order
+    if beside and (_named(rest, _densest(rest)) is None or root.chars - root.link_chars <= LITTLE):
+        for node in beside:
+            node.noise = False
+        beside, rest = [], measured(root)
+    hold(_densest(rest))
+    marked = False
+    for node in rest:
+        own = node.chars - node.link_chars
+        if node.suspect and node not in holds and node.tag not in ("article", "main") and (own <= LITTLE or node.link_chars > own or node.chars <= SHARE * root.chars):
+            node.noise = marked = True
+    return measured(root) if marked else rest
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, one line for each block; empty if there is none."""
     if not page:
         return ""
-    order = measured(parsed(page))
+    order = judged(parsed(page))
     root = order[0]
-    best = max(order, key=lambda x: x.total) if len(order) > 1 else root
+    best = _densest(order)
     least, node = best.density if best is not root else 0.0, best
     while node is not root:
         least, node = min(least, node.density), node.parent
-    top = best
-    for node in order:
-        if node.tag in ("article", "main") and node.chars >= 0.5 * best.chars and (_within(best, node) or _within(node, best)):
-            top = node
-            break
-    else:
+    top = _named(order, best)
+    if top is None:
+        top = best
         while top is not root and top.tag not in BLOCKS:
             top = top.parent
         while top is not root and top.parent is not root and all(_belongs(n, least) for n in top.parent.parts if n is not top):
