@@ -184,6 +184,19 @@ def test_html_words_of_wrappers():
     assert main_text.main_text(small).split("\n") == lines
 
 
+def test_html_short_parts_beside_sections():
+    line = ("Words of a long paragraph. " * 16).strip()
+    section = "<div class=s>" + f"<p>{line}</p>" * 5 + "</div>"
+    links = "".join(f"<a href=/{k}>Link number {k}</a> | " for k in range(5))
+    for between in ("<p>Of.</p>", "Of.", "<div><p>Of.</p></div>"):
+        inner = f"<h1>T</h1>{section}{between}{section}<div>{links}</div>"
+        for page in (f"<body><div id=page>{inner}</div></body>", f"<body>{inner}</body>", f"<body><div>{links}</div><div id=page><div>{inner}</div></div></body>"):
+            assert main_text.main_text(page).split("\n") == ["T", *[line] * 5, "Of.", *[line] * 5], page[:60]
+    assert main_text.main_text(f"<body><div id=page>{links}<h1>T</h1>{section}<p>See <a href=/x>this</a>.</p></div></body>").split("\n") == ["T", *[line] * 5, "See this."]
+    brief = "<div><p>" + "A brief section. " * 20 + "</p><p>Two.</p><p>Three.</p></div>"
+    assert main_text.main_text(f"<body><div id=page>{section}<p>Of.</p>{brief}{brief}</div></body>").count("A brief section.") == 40
+
+
 def secrets_of(t):
     t = t or ""
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]

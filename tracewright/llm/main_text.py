@@ -21,6 +21,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Kinds of elements.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("script style noscript template head nav footer aside form iframe button select textarea option svg canvas object embed applet dialog menu noembed noframes xmp title audio video map input".split())
@@ -221,18 +222,54 @@ def main_text(page: str | None) -> str:
         top = best
         while top is not root and top.tag not in BLOCKS:
             top = top.parent
-        while top is not root and top.parent is not root and all(_belongs(n, least) for n in top.parent.parts if n is not top):
-            top = top.parent
+        first, node = top, top
+        while node is not root:
+            if any(_belongs(n, least) for n in node.parent.parts if n is not node):
+                top = node.parent
+            node = node.parent
+        node = first
+        while node is not top:
+            _leave_links(node.parent, node)
+            node = node.parent
     lines: list[str] = []
     _collect(top, top, least, lines)
     return "\n".join(lines)
 
 
 def _belongs(part: Node | str, least: float) -> bool:
-    """Whether what stands beside the main part is of the article: headings, and blocks over the threshold."""
-    if isinstance(part, str):
-        return not part.strip()
-    return part.noise or not part.chars or part.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or part.density >= least and part.link_chars < 0.3 * part.chars
+    """Whether what stands beside the main part shows that the article goes on there: headings, and blocks over the threshold or with more than little text."""
+    if isinstance(part, str) or part.noise or not part.chars:
+        return False
+    return part.tag in HEADINGS or part.link_chars < 0.3 * part.chars and (part.density >= least or part.chars > LITTLE and not part.suspect)
+
+
+def _leave_links(parent: Node, main: Node) -> None:
+    """Marks as noise the link-heavy blocks, and runs of text and inline elements, beside the main part."""
+    run: list[int] = []
+
+    def judge() -> None:
+        own = [parent.parts[k] for k in run]
+        nodes = [n for n in own if isinstance(n, Node)]
+        if _heavy(sum(n.link_tags for n in nodes), sum(n.link_chars for n in nodes), sum(len("".join(n.split())) if isinstance(n, str) else n.chars for n in own)):
+            for k in run:
+                if isinstance(parent.parts[k], str):
+                    parent.parts[k] = " "
+                else:
+                    parent.parts[k].noise = True
+        run.clear()
+
+    for k, part in enumerate(parent.parts):
+        if part is main or isinstance(part, Node) and (part.noise or part.tag in BLOCKS):
+            judge()
+            if part is not main and part.tag not in HEADINGS and _heavy(part.link_tags, part.link_chars, part.chars):
+                part.noise = True
+        else:
+            run.append(k)
+    judge()
+
+
+def _heavy(links: int, link_chars: int, chars: int) -> bool:
+    return links >= 2 and 2 * link_chars > chars
 
 
 def _within(node: Node, top: Node) -> bool:
