@@ -328,6 +328,27 @@ def test_boosted_trees_generalize():
     assert ((model.probability(x) >= 0.5) == y).mean() > 0.97 and set(least) == {4, 5, 6, 7, 8}
 
 
+PHONES = [f"{area}{s}555{t}0123" for area, s in (("(212)", " "), ("(212)", ""), ("212", "-"), ("212", "."), ("212", " "), ("+1 (212)", " "), ("+49 212", " "), ("(0212)", " ")) for t in ("-", ".", " ") if area != "212" or s == t] + ["030/1234567", "030 1234567", "030-1234567", "0211 12345", "089/12345678"]
+
+
+def test_local_phones_by_context():
+    trained = pii.trained()
+
+    def found(before, phone, after=""):
+        text = before + phone + after
+        return [text[a:b] for a, k, b in pii.added_spans(text, [], *trained) if pii.KINDS[k] == "phone_local"]
+
+    for phone in PHONES:
+        for before in ("please call ", "phone: ", "tel ", "", "my number is ", "order by phone ", "your order: call ", "partner Bob Smith ", "on page 3 of the report Bob gave "):
+            assert found(before, phone, ".") == [phone], (before, phone)
+        for before, after in (("order ", ""), ("see parts ", ""), ("serial number ", " of the machine"), ("version #", ""), ("build ", "-12")):
+            assert found(before, phone, after) == [], (before, phone)
+    assert pii.redacted("fax 212.555.0123", pii.added_spans("fax 212.555.0123", [], *trained)) == "fax [PHONE_LOCAL]"
+    x, y = pii.examples(3000, seed=5)
+    for k in (0.0, 1.0):  # no length of digits belongs to one label
+        assert len(set(x[(x[:, 1] == 1) & (y == k)][:, 6])) > 5
+
+
 def test_packing(docs, none):
     table = load(tokenizer_path())
     rows = packing.pack(docs, capacity=256).collect()

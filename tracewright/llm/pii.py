@@ -106,7 +106,9 @@ def described(text: str, span: Span) -> list[float]:
     start, kind, end = span
     hit, before, after = text[start:end], text[max(0, start - 40) : start].lower(), text[end : end + 24].lower()
     digits = "".join(c for c in hit if "0" <= c <= "9")
-    words = re.findall(r"[a-z]+", before)[-6:] + re.findall(r"[a-z]+", after)[:2]
+    words = re.findall(r"[a-z]+", before)[-6:]
+    close = {w.removesuffix("s") for w in words[-2:]}
+    words += re.findall(r"[a-z]+", after)[:2]
     return [
         *(float(kind == KINDS.index(k)) for k in LOOSE),
         len(hit), len(digits), sum(c.isalpha() for c in hit), sum(not c.isalnum() for c in hit),
@@ -119,11 +121,17 @@ def described(text: str, span: Span) -> list[float]:
         float(bool(re.match(r"[A-Za-z0-9_/=-]", after))),
         float(bool(re.search(r"\b(com|org|net|edu|de|fr|es|io|gov|info)$", hit.lower()))),
         *(float(any(w.startswith(x) for w in words for x in own)) for own in CONTEXT.values()),
+        float(kind == KINDS.index("phone_local") and not close.isdisjoint(CONTEXT["other"])),
     ]
 
 
 def examples(n: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Made examples: true spans, and codes, dates, versions and prose that look like them."""
+    """Made examples: true spans, and codes, dates, versions and prose that look like them.
+
+    True and false local phones come from the same formats; a false one always has something
+    close that speaks against a phone: a word, a sign before it or a tail after it. Such words
+    stand near true ones too, but farther off or with a word that speaks for a phone. Spelled
+    addresses are told apart by their ends, so they have such words as well."""
     r = np.random.RandomState(seed)
 
     def number(k: int) -> str:
@@ -142,9 +150,16 @@ def examples(n: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         d += next(c for c in "0123456789" if luhn(d + c) == true)
         return " ".join(d[k : k + 4] for k in range(0, 16, 4))
 
+    def phone() -> str:
+        area, a, b, long = r.randint(200, 1000), r.randint(200, 1000), number(4), number(r.randint(5, 9))
+        trunk, sep, gap = "0" + number(r.randint(2, 5)), r.choice([" ", "/", "-"]), r.choice(["", " "])
+        head = r.choice(["", f"+{r.randint(1, 1000)}{gap}"], p=[0.8, 0.2])
+        shapes = [f"{head}({area}){gap}{a}{s}{b}" for s in " .-"] + [f"{head}{area}{s}{a}{s}{b}" for s in " .-"] + [f"{trunk}{sep}{long}"] * 3
+        return shapes[r.randint(len(shapes))]
+
     makers = (
         lambda true: f"{word()}.{word()} [at] {word()} [dot] com" if true and r.rand() < 0.5 else f"{word()}{r.randint(99)} at {word()} dot {'com' if true else word()}",
-        lambda true: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{number(4)}" if true else f"{number(3)}-{number(3)}-{number(4)}",
+        lambda true: phone(),
         lambda true: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}" if true else f"{r.choice(['000', '666', '9' + number(2)])}-{number(2)}-{number(4)}",
         iban,
         card,
@@ -155,7 +170,15 @@ def examples(n: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         kind, true = k % len(makers), bool(r.rand() < 0.5)
         hint = r.choice(CONTEXT[families[kind]]) if true and r.rand() < 0.75 else r.choice(CONTEXT["other"]) if not true and r.rand() < 0.75 else word()
         tail = "" if true or r.rand() < 0.6 else r.choice(["-", "/"]) + number(2)
-        text = f"{word()} {hint} {word() + ' ' if r.rand() < 0.3 else ''}{'' if true or r.rand() < 0.7 else '#'}{makers[kind](true)}{tail} {word()}."
+        sign = "" if true or r.rand() < 0.7 else "#"
+        if families[kind] == "phone" and not (true or tail or sign):
+            hint = r.choice(CONTEXT["other"])
+        first = word()
+        if families[kind] in ("phone", "mail") and true and r.rand() < 0.4:
+            first = f"{r.choice(CONTEXT['other'])} {word()} {word()} {word()}"
+            if hint in CONTEXT["phone"] and r.rand() < 0.4:
+                hint = f"{hint} {r.choice(CONTEXT['other'])}"
+        text = f"{first} {hint} {word() + ' ' if r.rand() < 0.3 else ''}{sign}{makers[kind](true)}{tail} {word()}."
         for span in proposals(text):
             if span[1] == len(BASE) + kind:
                 x.append(described(text, span))
