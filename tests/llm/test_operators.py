@@ -227,6 +227,28 @@ def test_window_entropy(spark):
     assert all(abs(g["e"] - entropy(g["h"])) < 1e-6 for g in got)
 
 
+def test_secret_recall_by_class(spark):
+    r = random.Random(6)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    classes = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": upper + "234567", "low32": lower + "234567", "lower": lower + digits, "upper": upper + digits, "base62": upper + lower + digits, "base64": upper + lower + digits + "+/"}
+    rows = []
+    for name, letters in classes.items():
+        for n in (20, 22, 24, 32):
+            for form in ("see {} here", "id={} x", "a/{}=") if name != "base64" else ("see {} here",):
+                for _ in range(150):
+                    rows.append((f"{name} {n}", form.format("".join(r.choice(letters) for _ in range(n)))))
+    found = secret_scan.secret_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    total, hit = Counter(), Counter()
+    for f in found:
+        total[rows[f["doc_id"]][0]] += 1
+        hit[rows[f["doc_id"]][0]] += bool(f["spans"])
+    low = {k: hit[k] / total[k] for k in total if hit[k] < 0.94 * total[k]}
+    assert not low, low
+    words = ["internationalization2020", "the/quick/brown/foxes/jumped/over1", "zz1zzzzzzzzzzzzzzzzzzzzzz2", "some_long_identifier_name_2", "12345678901234567890abc", "release-notes-for-version-2"]
+    plain = secret_scan.secret_scan(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    assert not [words[f["doc_id"]] for f in plain if f["spans"]]
+
+
 def test_language_id(spark, none):
     r = random.Random(1)
     syllables = {"en": ["the", "and", "ing", "tion", "er", "of"], "de": ["der", "ung", "ich", "sch", "ein", "und"], "fr": ["eau", "les", "oi", "que", "ment", "aux"]}
