@@ -39,6 +39,16 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids["personal_data"]
 
 
+def test_near_duplicates_by_row(spark, tmp_path):
+    texts = [r["text"] for r in corpus(spark).limit(12).collect()]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (-5, texts[2]), (3, texts[2] + " extra"), (None, texts[1]), (None, texts[3]), (None, texts[3] + " extra"), (None, texts[3]), (None, texts[4]), (None, None), (None, None), (None, ""), (4, "")]
+    docs = spark.createDataFrame([(a, b, "en", "s", len(b or "")) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert len(out) == 9
+    assert sorted(texts.index(t.removesuffix(" extra")) for _, t in out if t) == [0, 1, 2, 3, 4]
+    assert {(1, texts[0]), (1, texts[1]), (-5, texts[2]), (None, texts[4]), (4, "")} <= set(out) and out.count((None, None)) == 2
+
+
 def test_empty(spark, tmp_path):
     corpus(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
