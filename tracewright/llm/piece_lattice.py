@@ -1,34 +1,44 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A word's substrings of bounded length, joined by equality to the piece table,
-are the edges of its lattice; grouped by word they are folded to the best
-segmentation: by Viterbi for unigram models, and by merging in order of score
-for BPE models, whose results Viterbi does not give.
+Texts are cut into units where no piece can cross. The distinct units become a
+table: `folded` explodes their substrings of bounded length, joins those by
+equality to the piece table, groups the edges by unit and folds each lattice
+by higher-order `aggregate`. Unigram models are folded by Viterbi; BPE models,
+whose results Viterbi does not give, by merging in order of score.
 
-`encode_words` does this in Spark, down to the fold by higher-order
-`aggregate`. `encode` does the same in each Arrow batch over the batch's
-distinct words and remembers them, so that no occurrence of a word is
-shuffled."""
+The folded units then go back to the texts: those that are frequent as a
+broadcast table of bounded size, the others joined to the texts that hold
+them. Units over `LONGEST` characters, whose lattices would have rows without
+bound, are merged where their text is assembled."""
 
 from __future__ import annotations
 
+import heapq
 import re
+import uuid
 import zlib
-from array import array
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, documents_of
+from .common import by_batch, documents_of, written
 
 SPACE = "▁"
-#: Words kept in each of two generations, and the longest that is kept.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 48
+#: The longest unit that is folded in Spark: its places are the bits of a long.
+LONGEST = 60
+#: Most units in the broadcast table, and units folded in one task.
+FREQUENT, TASK_UNITS = 1 << 18, 50_000
+#: Distinct words counted before a task hands them on; bytes of assembled words a worker remembers in each of two generations.
+COUNTED, REMEMBERED_BYTES = 400_000, 48_000_000
+KNOWN_KINDS = {1: "unigram", 2: "bpe"}
+FLAG = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -39,6 +49,7 @@ class Model:
     unknown: int
     longest: int
     newline_alone: bool
+    plain: bool  # normalizing only puts SPACE before the text and for its spaces
     joined: frozenset[str]  # pairs of characters that some piece holds side by side
     library: sentencepiece.SentencePieceProcessor
 
@@ -68,14 +79,21 @@ def _fields(data: bytes):
             at += n
 
 
+def model_of(kind: str, pieces: dict[str, tuple[int, float]], raw: dict[int, int], unknown: int, library, plain: bool) -> Model:
+    newline_alone = not any("\n" in p for p in pieces)
+    joined = frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1))
+    return Model(kind, pieces, raw, unknown, max(map(len, pieces)), newline_alone, plain and newline_alone, joined, library)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Model:
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     with open(path, "rb") as f:
-        trainer = next((dict(_fields(v)) for k, v in _fields(f.read()) if k == 2), {})
-    kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))
-    if kind is None:
-        raise ValueError("only unigram and BPE models have a lattice")
+        parts = list(_fields(f.read()))
+    trainer, normalizer = (next((dict(_fields(v)) for k, v in parts if k == n), {}) for n in (2, 3))
+    kind = KNOWN_KINDS.get(trainer.get(3, 1))
+    if kind is None or any(dict(_fields(v)).get(3) == 4 for k, v in parts if k == 1):
+        raise ValueError("only unigram and BPE models without user-defined pieces have a lattice")
     pieces, raw = {}, {}
     for i in range(library.vocab_size()):
         p = library.id_to_piece(i)
@@ -85,128 +103,400 @@ def load(path: str) -> Model:
             pieces[p] = (i, library.get_score(i))
     if any(SPACE in p.lstrip(SPACE) for p in pieces):
         raise ValueError("a piece goes over the end of a word")
-    return Model(kind, pieces, raw, library.unk_id(), max(map(len, pieces)), not any("\n" in p for p in pieces), frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1)), library)
+    plain = not normalizer.get(2) and normalizer.get(3, 1) == 1 and normalizer.get(4, 1) == 0 and normalizer.get(5, 1) == 1
+    return model_of(kind, pieces, raw, library.unk_id(), library, plain)
+
+
+_TOKENS = re.compile(rf"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+_RUNS = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_ODD_SPACE = re.compile(rf"^ |  | \n| \Z|{SPACE}")
 
 
 def words(model: Model, text: str) -> list[str]:
-    """The normalized text cut where no piece can cross: before runs of spaces, and around line ends."""
-    pattern = rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if model.newline_alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
-    return re.findall(pattern, model.library.normalize(text))
-
-
-def edges(model: Model, word: str) -> dict[tuple[int, int], tuple[int, float]]:
-    """The lattice of a word: its substrings of bounded length that are pieces."""
-    spans, slices = _spans(len(word), model.longest)
-    return {p: e for p, e in zip(spans, map(model.pieces.get, [word[x] for x in slices])) if e is not None}
-
-
-@lru_cache(maxsize=256)
-def _spans(n: int, longest: int) -> tuple[list[tuple[int, int]], list[slice]]:
-    """All (start, end) of substrings of bounded length, and the slices that take them."""
-    spans = [(a, b) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1)]
-    return spans, [slice(*p) for p in spans]
-
-
-def fold(model: Model, word: str) -> list[int]:
-    lattice, n = edges(model, word), len(word)
-    if model.kind == "bpe":
-        none = (0, float("-inf"))
-        cuts = list(range(n + 1))
-        gains = [lattice.get((k, k + 2), none)[1] for k in range(n - 1)]
-        while gains and (best := max(gains)) > none[1]:
-            at = gains.index(best)
-            del cuts[at + 1], gains[at]
-            if at < len(gains):
-                gains[at] = lattice.get((cuts[at], cuts[at + 2]), none)[1]
-            if at:
-                gains[at - 1] = lattice.get((cuts[at - 1], cuts[at + 1]), none)[1]
-    else:
-        floor = min(s for _, s in model.pieces.values()) - 10
-        score, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        for b in range(1, n + 1):
-            for a in range(max(0, b - model.longest), b):
-                e = lattice.get((a, b))
-                s = score[a] + (e[1] if e is not None else floor if b == a + 1 else float("-inf"))
-                if s > score[b]:
-                    score[b], back[b] = s, a
-        cuts = [n]
-        while cuts[-1]:
-            cuts.append(back[cuts[-1]])
-        cuts.reverse()
+    """The pieces of a text before runs of spaces and before line ends, the same for the same string: see normal()."""
+    if not text:
+        return []
+    if not model.plain:
+        return (_TOKENS if model.newline_alone else _RUNS).findall(model.library.normalize(text))
+    if _ODD_SPACE.search(text) is None:
+        return text.replace("\n", " \n").split(" ")
+    found = _TOKENS.findall(SPACE + text.replace(" ", SPACE))
+    return [w if w[0] == "\n" else w[1:] for w in found]
+
+
+def normal(model: Model, word: str) -> str:
+    """The normalized characters of a word; words of plain models leave out the SPACE before them."""
+    return word if not model.plain or word[:1] == "\n" else SPACE + word
+
+
+def units(model: Model, word: str) -> list[str]:
+    """A word's normalized characters cut wherever no piece can cross.
+
+    Models without byte fallback join unknown characters, so their words stay whole."""
+    text = normal(model, word)
+    if not model.bytes:
+        return [text]
+    joined = model.joined
+    cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in joined]
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]
+
+
+def fold(model: Model, unit: str) -> list[int]:
+    """The ids of one unit of any length, in time nearly linear in it."""
+    cuts = _merged(model, unit) if model.kind == "bpe" else _viterbi(model, unit)
     out: list[int] = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        e = lattice.get((a, b))
+        e = model.pieces.get(unit[a:b])
         if e is not None:
             out.append(e[0])
         elif model.bytes:
-            out += [model.bytes[c] for c in word[a:b].encode("utf-8", "replace")]
+            out += [model.bytes[c] for c in unit[a:b].encode("utf-8", "replace")]
         elif not out or out[-1] != model.unknown:
             out.append(model.unknown)
     return out
 
 
-class _Memory(dict):
-    def __init__(self, model: Model) -> None:
+def _merged(model: Model, unit: str) -> list[int]:
+    """Cuts after merging neighbours, best score first and leftmost among equals, by a heap over a linked list."""
+    n = len(unit)
+    after, before, heap = list(range(1, n + 2)), list(range(-1, n)), []
+
+    def offer(a: int) -> None:
+        if a >= 0 and after[a] < n:
+            b = after[after[a]]
+            e = model.pieces.get(unit[a:b]) if b - a <= model.longest else None
+            if e is not None:
+                heapq.heappush(heap, (-e[1], a, after[a], b))
+
+    for a in range(n):
+        offer(a)
+    while heap:
+        _, a, m, b = heapq.heappop(heap)
+        if before[m] == a and after[a] == m and after[m] == b:
+            after[a], before[m] = b, -2
+            if b <= n:
+                before[b] = a
+            offer(a)
+            offer(before[a])
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(after[cuts[-1]])
+    return cuts
+
+
+def _viterbi(model: Model, unit: str) -> list[int]:
+    floor, n = _floor(model), len(unit)
+    score, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+    for b in range(1, n + 1):
+        for a in range(max(0, b - model.longest), b):
+            e = model.pieces.get(unit[a:b])
+            s = score[a] + (e[1] if e is not None else floor if b == a + 1 else float("-inf"))
+            if s > score[b]:
+                score[b], back[b] = s, a
+    cuts = [n]
+    while cuts[-1]:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
+
+
+def _floor(model: Model) -> float:
+    return min(s for _, s in model.pieces.values()) - 10
+
+
+def piece_table(spark: SparkSession, model: Model) -> DataFrame:
+    """piece, id, score, order, at, cut: what the lattice's edges are joined to; its size is that of the vocabulary.
+
+    For BPE, `order` is the rank of the score. A piece whose part ranks after
+    it can also become ready late, once that part is there: such parts add a
+    row with that part's rank, its place `at` in the piece and the `cut`."""
+    ranks = {s: k for k, s in enumerate(sorted({s for _, s in model.pieces.values()}, reverse=True))}
+    rows = []
+    for p, (i, s) in model.pieces.items():
+        rows.append((p, i, s, ranks[s], 0, None))
+        for k in range(1, len(p)) if model.kind == "bpe" else ():
+            parts = [-1 if len(x) == 1 else ranks[model.pieces[x][1]] if x in model.pieces else None for x in (p[:k], p[k:])]
+            if None not in parts and max(parts) >= ranks[s]:
+                rows.append((p, i, s, max(parts), 0 if parts[0] > parts[1] else k, k))
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank int, at int, cut int")
+
+
+def folded(spark: SparkSession, distinct_units: DataFrame, path: str) -> DataFrame:
+    """unit, n, ids of distinct (unit, n), all in Spark: explode, equi-join, group and fold.
+
+    Null, empty and overlong units (over LONGEST characters) give no row. Cuts
+    are the bits of a long; of an edge, `ends` are the bits of both ends and
+    `mid` those of the places between them."""
+    model = load(path)
+    table = F.broadcast(piece_table(spark, model))
+    some = distinct_units.filter(f"unit <> '' and length(unit) <= {LONGEST}").select("unit", "n", F.length("unit").alias("len"))
+    starts = some.select("*", F.explode(F.expr("sequence(0, len - 1)")).alias("a"))
+    spans = starts.select("*", F.explode(F.expr(f"sequence(1, least({model.longest}, len - a))")).alias("width"))
+    spans = spans.select("*", F.expr("substr(unit, a + 1, width)").alias("piece"))
+    met = spans.join(table, "piece", "left").filter("id is not null or (a = 0 and width = 1)")
+    bit = "shiftleft(1L, {})".format
+    ends = f"{bit('a')} + {bit('a + width')} + if(cut is null, 0L, {bit('a + cut')})"
+    mid = f"{bit('a + width')} - {bit('a + 1')} - if(cut is null, 0L, {bit('a + cut')})"
+    key = "(cast(rank as long) * 64 + a + at) * 2 + if(cut is null, 0, 1)"
+    fields = f"struct({key} as k, {mid} as mid, {ends} as ends, id)" if model.kind == "bpe" else f"struct(a + width as b, a, score, {mid} as mid, {ends} as ends, id)"
+    grouped = met.select("unit", "n", "len", F.expr(f"case when id is not null then {fields} end").alias("e")).groupBy("unit", "n", "len").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    return _with_ids(_merge_cuts(grouped) if model.kind == "bpe" else _viterbi_cuts(grouped, model), model)
+
+
+def _merge_cuts(grouped: DataFrame) -> DataFrame:
+    """cuts by merging. Edges come in order of rank and place, so one pass merges them; should a
+    piece become ready late, which its extra rows tell, every merge looks for the best edge anew."""
+    ready = "(c & e.ends) = e.ends and bit_count(c & e.mid) = {}"
+    once = f"""aggregate(edges, shiftleft(1L, len + 1) - 1, (c, e) -> case
+        when (e.k & 1) = 0 then if({ready.format(1)}, c & ~e.mid, c)
+        else if({ready.format(0)}, c | {FLAG}L, c) end)"""
+    best = f"get(filter(edges, e -> (e.k & 1) = 0 and {ready.format(1)}), 0).mid"
+    anew = f"aggregate(sequence(2, len), shiftleft(1L, len + 1) - 1, (c, i) -> c & ~coalesce({best}, 0L))"
+    passed = grouped.withColumn("once", F.expr(once))
+    return passed.withColumn("cuts", F.expr(f"case when (once & {FLAG}L) = 0 or len < 2 then once else {anew} end")).withColumn("edges", F.expr("filter(edges, e -> (e.k & 1) = 0)")).drop("once")
+
+
+def _viterbi_cuts(grouped: DataFrame, model: Model) -> DataFrame:
+    """cuts by Viterbi: the best score of every place, then the way back."""
+    into = f"transform(sequence(greatest(0, b - {model.longest}), b - 1), a -> struct(best[a].s + coalesce(get(filter(edges, e -> e.a = a and e.b = b), 0).score, if(b = a + 1, {_floor(model)}D, double('-Infinity'))) as s, -a as first, a as a))"
+    forward = f"aggregate(sequence(1, len), array(struct(0D as s, 0 as first, 0 as a)), (best, b) -> array_append(best, array_max({into})))"
+    back = "aggregate(sequence(1, len), struct(len as at, shiftleft(1L, len) as cuts), (w, k) -> if(w.at = 0, w, struct(best[w.at].a as at, w.cuts | shiftleft(1L, best[w.at].a) as cuts)), w -> w.cuts)"
+    return grouped.withColumn("best", F.expr(forward)).withColumn("cuts", F.expr(back)).drop("best")
+
+
+def _with_ids(folded_units: DataFrame, model: Model) -> DataFrame:
+    """unit, n, ids: the edges that the cuts leave, and bytes or the unknown id for characters without a piece."""
+    left = folded_units.withColumn("left", F.expr("filter(edges, e -> (cuts & e.ends) = e.ends and (cuts & e.mid) = 0)"))
+    own = "transform(array_sort(transform(left, e -> struct(e.ends as ends, e.id as id))), e -> e.id)"
+    hexed = "hex(encode(substr(unit, i + 1, 1), 'utf-8'))"
+    raw = "array(" + ",".join(str(model.bytes[b]) for b in range(256)) + ")" if model.bytes else ""
+    lost = f"transform(sequence(1, length({hexed}), 2), k -> {raw}[cast(conv(substr({hexed}, k, 2), 16, 10) as int)])" if raw else f"array({model.unknown})"
+    at = "filter(left, e -> (e.ends & (shiftleft(1L, i + 1) - 1)) = shiftleft(1L, i))"
+    mixed = f"flatten(transform(filter(sequence(0, len - 1), i -> (cuts & shiftleft(1L, i)) <> 0), i -> if(size({at}) > 0, transform({at}, e -> e.id), {lost})))"
+    if not raw:
+        mixed = f"aggregate({mixed}, cast(array() as array<int>), (s, x) -> if(x = {model.unknown} and size(s) > 0 and element_at(s, -1) = x, s, array_append(s, x)))"
+    return left.select("unit", "n", F.expr(f"case when size(left) = bit_count(cuts) - 1 then {own} else {mixed} end").alias("ids"))
+
+
+def _counted(documents: DataFrame, path: str) -> DataFrame:
+    """unit, n of all texts: every task counts its words, a bounded number of distinct ones at a time, and cuts those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = load(path), Counter()
+
+        def table() -> pa.RecordBatch:
+            found: dict[str, int] = {}
+            for word, n in seen.items():
+                for u in units(model, word):
+                    if len(u) <= LONGEST:
+                        found[u] = found.get(u, 0) + n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "n"])
+
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                if text:
+                    seen.update(words(model, text))
+                    if len(seen) > COUNTED:
+                        yield table()
+        yield table()
+
+    return documents.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _packed(ids: pa.ListArray) -> list[bytes]:
+    """The ids of each row as little-endian unsigned 32-bit numbers."""
+    flat = np.asarray(ids.values).astype("<u4").tobytes()
+    ends = (4 * np.asarray(ids.offsets)).tolist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+class Assembler(dict):
+    """word -> ids as bytes, in one worker; remembers the words that need only frequent units."""
+
+    def __init__(self, model: Model, frequent: dict[str, bytes]) -> None:
         super().__init__()
-        self._model, self._older = model, {}
+        self.model, self._frequent, self._older, self._bytes = model, frequent, {}, 0
+        self.own: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self._older.get(word)
         if ids is None:
-            joined = self._model.joined
-            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined] if self._model.bytes else []
-            if cuts:  # no edge crosses these
-                ids = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-            else:
-                ids = array("I", fold(self._model, word)).tobytes()
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self._older = dict(self)
-                self.clear()
-            self[word] = ids
+            found = units(self.model, word)
+            parts = list(map(self._frequent.get, found))
+            if None in parts:
+                return b"".join([self._other(u) if p is None else p for u, p in zip(found, parts, strict=True)])
+            ids = b"".join(parts)
+        self._remember(word, ids)
         return ids
 
+    def _remember(self, word: str, ids: bytes) -> None:
+        self._bytes += 160 + 4 * len(word) + len(ids)
+        if self._bytes > REMEMBERED_BYTES:
+            self._older, self._bytes = dict(self), 0
+            self.clear()
+        self[word] = ids
+
+    def _other(self, unit: str) -> bytes:
+        """The ids of a unit joined to the text, or of one too long for the lattice."""
+        ids = self.own.get(unit)
+        return np.array(fold(self.model, unit), "<u4").tobytes() if ids is None else ids
 
-class Codec:
-    """Encoding and decoding in one worker."""
+    def rare(self, word: str) -> list[str]:
+        """The units of a word that are neither frequent nor overlong."""
+        ids = self._older.get(word)
+        if ids is None:
+            found = units(self.model, word)
+            parts = list(map(self._frequent.get, found))
+            if None in parts:
+                return [u for u, p in zip(found, parts, strict=True) if p is None and len(u) <= LONGEST]
+            ids = b"".join(parts)
+        self._remember(word, ids)
+        return []
+
+
+class _Units:
+    """The folded units, and the bounded part of them that every worker gets."""
+
+    def __init__(self, documents: DataFrame, path: str) -> None:
+        spark = documents.sparkSession
+        counted = written(_counted(documents, path))
+        tasks = max(1, -(-counted.count() // TASK_UNITS))
+        self.all = written(folded(spark, counted.repartition(tasks, "unit"), path))
+        step = F.floor(F.log2("n") * 16)
+        room, self.least = FREQUENT, 2**63 - 1
+        for r in self.all.groupBy(step.alias("step")).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():  # at most 16 * 64 rows
+            room -= r["units"]
+            if room < 0:
+                break
+            self.least = r["least"]
+        frequent = self.all.filter(F.col("n") >= self.least).select("unit", "ids").toArrow()  # at most FREQUENT rows of LONGEST characters
+        ids = [b for c in frequent.column("ids").chunks for b in _packed(c)]
+        self.broadcast = spark.sparkContext.broadcast((uuid.uuid4().hex, path, frequent.column("unit").to_pylist(), ids))
+
+    def assembler(self) -> Callable[[], Assembler]:
+        shared = self.broadcast
+
+        def make() -> Assembler:
+            name, path, names, ids = shared.value
+            if name not in _KEPT:
+                _KEPT.clear()
+                _KEPT[name] = Assembler(load(path), dict(zip(names, ids, strict=True)))
+            return _KEPT[name]
+
+        return make
+
+
+#: The assembler of the latest table, for all tasks of a worker.
+_KEPT: dict[str, Assembler] = {}
+
+
+def _with_rare(documents: DataFrame, known: _Units) -> DataFrame:
+    """doc_id, text and own, an array of (unit, ids): the units of the text that are not frequent.
+
+    Texts are told apart by 128 bits of hashes. Copies list their units once."""
+    make_assembler = known.assembler()
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+
+    def make():
+        table = make_assembler()
+
+        def find(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            out = []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                own = {u for w in set(words(table.model, text)) if w not in table for u in table.rare(w)}
+                if own:
+                    out.append((k, sorted(own)))
+            if not out:
+                return None
+            rows = pa.array([k for k, _ in out])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([u for _, u in out], pa.list_(pa.string()))], ["k1", "k2", "own"])
+
+        return find
+
+    lists = by_batch(keyed.select("k1", "k2", "text"), "k1 long, k2 long, own array<string>", make)
+    pairs = lists.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("own").alias("unit"))
+    rest = known.all.filter(F.col("n") < known.least).select("unit", "ids")
+    own = pairs.join(rest, "unit").groupBy("k1", "k2").agg(F.collect_list(F.struct("unit", "ids")).alias("own"))
+    return keyed.join(own, ["k1", "k2"], "left").select("doc_id", "text", "own")
+
+
+def _assembled(documents: DataFrame, path: str, schema: str, finish: Callable[[list[str], list[int], list[bytes]], list[pa.Array]]) -> DataFrame:
+    """doc_id and the columns that finish() makes of texts, numbers of words and ids."""
+    docs = documents_of(documents).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = _Units(docs, path)
+    make_assembler = known.assembler()
+    names = [c.split()[0] for c in schema.split(",")]
 
-    def __init__(self, path: str) -> None:
-        self.model = load(path)
-        self._memory = _Memory(self.model)
-        self._back = {i: bytes([b]) for b, i in self.model.bytes.items()} | {i: p.replace(SPACE, " ").encode() for p, (i, _) in self.model.pieces.items()}
+    def make():
+        table = make_assembler()
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts, own = batch.column(1).to_pylist(), batch.column(2)
+            listed = own.is_valid().to_pylist()
+            counts, ids = [], []
+            for k, text in enumerate(texts):
+                table.own = {}
+                if listed[k]:
+                    pairs = own[k].values
+                    table.own = dict(zip(pairs.field("unit").to_pylist(), [np.array(x, "<u4").tobytes() for x in pairs.field("ids").to_pylist()], strict=True))
+                found = words(table.model, text)
+                counts.append(len(found))
+                ids.append(b"".join(map(table.__getitem__, found)))
+            table.own = {}
+            return pa.RecordBatch.from_arrays([batch.column(0), *finish(texts, counts, ids)], names)
 
-    def ids(self, text: str) -> tuple[int, bytes]:
-        found = words(self.model, text)
-        return len(found), b"".join(map(self._memory.__getitem__, found))
+        return run
 
-    def text(self, ids: bytes) -> str:
-        return b"".join(map(self._back.get, array("I", ids), repeat(b""))).decode("utf-8", "replace").removeprefix(" ")
+    return by_batch(_with_rare(docs, known), schema, make)
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_words, ids (array of int) of every whole text; null texts count as empty and have no ids."""
+    """doc_id, n_words, ids (array of int) of every whole text.
 
-    def make():
-        codec = Codec(path)
+    Null and empty texts have no words and no ids; repeated rows give repeated
+    results, other columns are ignored, and an empty table gives no rows. Texts
+    of any length are read whole. Equal scores merge leftmost first."""
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [codec.ids(t or "") for t in batch.column(1).to_pylist()]
-            ids = pa.array([array("I", x[1]).tolist() for x in found], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), ids], ["doc_id", "n_words", "ids"])
+    def finish(texts: list[str], counts: list[int], ids: list[bytes]) -> list[pa.Array]:
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        return [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
 
-        return run
+    return _assembled(documents, path, "doc_id long, n_words long, ids array<int>", finish)
 
-    return by_batch(documents_of(documents), "doc_id long, n_words long, ids array<int>", make)
+
+@lru_cache(maxsize=2)
+def _decoded(path: str) -> pa.Array:
+    """The bytes of every id; control and unknown ids have none."""
+    model = load(path)
+    out = [b""] * model.library.vocab_size()
+    for b, i in model.bytes.items():
+        out[i] = bytes([b])
+    for p, (i, _) in model.pieces.items():
+        out[i] = p.replace(SPACE, " ").encode()
+    return pa.array(out, pa.large_binary())
+
+
+def _bytes_of(path: str, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of consecutive runs of ids, by an equi-join of ids to the piece table in Arrow."""
+    found = _decoded(path).take(pa.array(ids))
+    places = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    data = memoryview(found.buffers()[2]) if len(ids) else memoryview(b"")
+    at = places[ends].tolist()
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of rows (doc_id, ids); null ids give a null text."""
+    """doc_id, text of rows (doc_id, ids); null ids give a null text, ids outside the vocabulary nothing."""
 
     def make():
-        codec = Codec(path)
+        size = load(path).library.vocab_size()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [None if x is None else codec.text(array("I", x).tobytes()) for x in batch.column(1).to_pylist()]
+            rows = [None if x is None else [i for i in x if i is not None and 0 <= i < size] for x in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(x or ()) for x in rows)])
+            flat = np.array([i for x in rows for i in x or ()], np.int64)
+            texts = [None if x is None else b.decode("utf-8", "replace").removeprefix(" ") for x, b in zip(rows, _bytes_of(path, flat, ends), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
         return run
@@ -215,49 +505,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_words, n_pieces, ids_crc32, same: encoded and decoded again; `same` if that gives the text back."""
+    """doc_id, n_words, n_pieces, ids_crc32, same: encoded and decoded again; `same` if that gives the text back.
 
-    def make():
-        codec = Codec(path)
+    ids_crc32 is that of the ids as little-endian unsigned 32-bit numbers.
+    Null texts count as empty; repeated rows give repeated results, other
+    columns are ignored, and an empty table gives no rows."""
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                n, ids = codec.ids(text or "")
-                rows.append((n, len(ids) // 4, zlib.crc32(ids), codec.text(ids) == (text or "")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_words", "n_pieces", "ids_crc32", "same"])
-
-        return run
+    def finish(texts: list[str], counts: list[int], ids: list[bytes]) -> list[pa.Array]:
+        sizes = [len(x) // 4 for x in ids]
+        back = _bytes_of(path, np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.cumsum([0, *sizes]))
+        same = [b.removeprefix(b" ") == t.encode("utf-8", "replace") for t, b in zip(texts, back, strict=True)]
+        return [pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(same, pa.bool_())]
 
-    return by_batch(documents_of(documents), "doc_id long, n_words long, n_pieces long, ids_crc32 long, same boolean", make)
-
-
-def encode_words(spark: SparkSession, distinct_words: DataFrame, path: str) -> DataFrame:
-    """word, ids of distinct non-null words, all in Spark: explode, equi-join, group and fold.
-
-    The piece table's size is that of the vocabulary, so it is broadcast."""
-    model = load(path)
-    rows = [(p, i, s) for p, (i, s) in model.pieces.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
-    parts = f"flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least({model.longest}, length(word) - i + 1)), n -> struct(i - 1 as a, i - 1 + n as b, substr(word, i, n) as piece))))"
-    lattice = distinct_words.filter("word is not null and word <> ''").select("word", F.explode(F.expr(parts)).alias("e")).select("word", "e.*").join(table, "piece", "left")
-    grouped = lattice.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("a", "b", "id", "score"))).alias("edges"))
-    if model.kind == "bpe":
-        candidates = "filter(edges, e -> array_position(cuts, e.a) > 0 and get(cuts, cast(array_position(cuts, e.a) as int) + 1) = e.b)"
-        step = f"array_max(transform({candidates}, e -> struct(e.score as s, -e.a as first, e.a as a, e.b as b)))"
-        fold_sql = f"aggregate(sequence(1, length(word)), sequence(0, length(word)), (cuts, k) -> coalesce(transform(array({step}), x -> filter(cuts, c -> x.a is null or c <= x.a or c >= x.b))[0], cuts))"
-        grouped = grouped.withColumn("cuts", F.expr(fold_sql))
-    else:
-        floor = min(s for _, s in model.pieces.values()) - 10
-        into = f"transform(sequence(greatest(0, b - {model.longest}), b - 1), a -> struct(best[a].s + coalesce(get(filter(edges, e -> e.a = a and e.b = b), 0).score, if(b = a + 1, {floor}D, double('-Infinity'))) as s, -a as first, a as a))"
-        fold_sql = f"aggregate(sequence(1, length(word)), array(struct(0D as s, 0 as first, 0 as a)), (best, b) -> array_append(best, array_max({into})))"
-        back = "aggregate(sequence(1, length(word)), array(length(word)), (cuts, k) -> if(cuts[0] = 0, cuts, array_prepend(cuts, best[cuts[0]].a)))"
-        grouped = grouped.withColumn("best", F.expr(fold_sql)).withColumn("cuts", F.expr(back))
-    raw = "array(" + ",".join(str(model.bytes[b]) for b in range(256)) + ")" if model.bytes else ""
-    hexed = "hex(encode(substr(word, x.a + 1, x.b - x.a), 'utf-8'))"
-    lost = f"transform(sequence(1, length({hexed}), 2), k -> {raw}[cast(conv(substr({hexed}, k, 2), 16, 10) as int)])" if raw else f"array({model.unknown})"
-    own = "transform(filter(edges, e -> e.a = x.a and e.b = x.b), e -> e.id)"
-    steps = "zip_with(slice(cuts, 1, size(cuts) - 1), slice(cuts, 2, size(cuts)), (a, b) -> struct(a, b))"
-    known = f"transform({steps}, x -> if(size({own}) > 0, {own}, {lost}))"
-    return grouped.select("word", F.expr(f"flatten({known})").alias("ids"))
+    return _assembled(documents, path, "doc_id long, n_words long, n_pieces long, ids_crc32 long, same boolean", finish)
