@@ -6,18 +6,20 @@ equality to the piece table, groups the edges by unit and folds each lattice
 by higher-order `aggregate`. Unigram models are folded by Viterbi; BPE models,
 whose results Viterbi does not give, by merging in order of score.
 
-The folded units then go back to the texts: those that are frequent as a
-broadcast table of bounded size, the others joined to the texts that hold
-them. Units over `LONGEST` characters, whose lattices would have rows without
-bound, are merged where their text is assembled."""
+No occurrence of a unit is shuffled. A task reads its texts once, numbers the
+distinct words of a chunk of them and hands on two things: the texts as
+numbers, and the chunk's units as sorted lists by hash. The lists meet in the
+lattice; their ids go back to the chunk, whose texts are put together there.
+Units over `LONGEST` characters, whose lattices would have rows without bound,
+are merged where their text is read."""
 
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
-import uuid
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,18 +27,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard as zstd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, documents_of, written
+from .common import by_batch, documents_of
 
 SPACE = "▁"
 #: The longest unit that is folded in Spark: its places are the bits of a long.
 LONGEST = 60
-#: Most units in the broadcast table, and units folded in one task.
-FREQUENT, TASK_UNITS = 1 << 18, 50_000
-#: Distinct words counted before a task hands them on; bytes of assembled words a worker remembers in each of two generations.
-COUNTED, REMEMBERED_BYTES = 400_000, 48_000_000
+#: Words and distinct words after which a chunk ends, and lists of units for each shuffle partition.
+CHUNK_WORDS, CHUNK_DISTINCT, LISTS = 6_000_000, 500_000, 4
 KNOWN_KINDS = {1: "unigram", 2: "bpe"}
 FLAG = 1 << 62
 
@@ -109,7 +111,6 @@ def load(path: str) -> Model:
 
 _TOKENS = re.compile(rf"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _RUNS = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_ODD_SPACE = re.compile(rf"^ |  | \n| \Z|{SPACE}")
 
 
 def words(model: Model, text: str) -> list[str]:
@@ -118,7 +119,7 @@ def words(model: Model, text: str) -> list[str]:
         return []
     if not model.plain:
         return (_TOKENS if model.newline_alone else _RUNS).findall(model.library.normalize(text))
-    if _ODD_SPACE.search(text) is None:
+    if text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and SPACE not in text:
         return text.replace("\n", " \n").split(" ")
     found = _TOKENS.findall(SPACE + text.replace(" ", SPACE))
     return [w if w[0] == "\n" else w[1:] for w in found]
@@ -129,16 +130,33 @@ def normal(model: Model, word: str) -> str:
     return word if not model.plain or word[:1] == "\n" else SPACE + word
 
 
-def units(model: Model, word: str) -> list[str]:
-    """A word's normalized characters cut wherever no piece can cross.
+class Cutter:
+    """Cuts words into units wherever no piece can cross.
 
     Models without byte fallback join unknown characters, so their words stay whole."""
-    text = normal(model, word)
-    if not model.bytes:
-        return [text]
-    joined = model.joined
-    cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in joined]
-    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        letters = sorted({c for pair in model.joined for c in pair})
+        self._kind = np.zeros(0x110000, np.uint16)
+        self._kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self._joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for pair in model.joined:
+            self._joined[self._kind[ord(pair[0])], self._kind[ord(pair[1])]] = True
+
+    def units(self, found: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all words, one after the other, and where each word's begin (and the last one's end)."""
+        texts = [normal(self.model, w) for w in found]
+        begins = np.cumsum([0, *map(len, texts)])
+        whole = "".join(texts)
+        cut = np.zeros(len(whole) + 1, bool)
+        if self.model.bytes and whole:
+            kinds = self._kind[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+            cut[1:-1] = ~self._joined[kinds[:-1], kinds[1:]]
+        cut[begins] = True
+        places = np.flatnonzero(cut)
+        at = places.tolist()
+        return [whole[a:b] for a, b in zip(at, at[1:], strict=False)], np.searchsorted(places, begins)
 
 
 def fold(model: Model, unit: str) -> list[int]:
@@ -221,14 +239,15 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def folded(spark: SparkSession, distinct_units: DataFrame, path: str) -> DataFrame:
-    """unit, n, ids of distinct (unit, n), all in Spark: explode, equi-join, group and fold.
+    """place, unit, homes, ids of distinct (place, unit) with any homes, all in Spark: explode, equi-join, group and fold.
 
     Null, empty and overlong units (over LONGEST characters) give no row. Cuts
     are the bits of a long; of an edge, `ends` are the bits of both ends and
-    `mid` those of the places between them."""
+    `mid` those of the places between them. Rows that are partitioned by
+    place stay where they are."""
     model = load(path)
     table = F.broadcast(piece_table(spark, model))
-    some = distinct_units.filter(f"unit <> '' and length(unit) <= {LONGEST}").select("unit", "n", F.length("unit").alias("len"))
+    some = distinct_units.filter(f"unit <> '' and length(unit) <= {LONGEST}").select("place", "unit", "homes", F.length("unit").alias("len"))
     starts = some.select("*", F.explode(F.expr("sequence(0, len - 1)")).alias("a"))
     spans = starts.select("*", F.explode(F.expr(f"sequence(1, least({model.longest}, len - a))")).alias("width"))
     spans = spans.select("*", F.expr("substr(unit, a + 1, width)").alias("piece"))
@@ -238,7 +257,9 @@ def folded(spark: SparkSession, distinct_units: DataFrame, path: str) -> DataFra
     mid = f"{bit('a + width')} - {bit('a + 1')} - if(cut is null, 0L, {bit('a + cut')})"
     key = "(cast(rank as long) * 64 + a + at) * 2 + if(cut is null, 0, 1)"
     fields = f"struct({key} as k, {mid} as mid, {ends} as ends, id)" if model.kind == "bpe" else f"struct(a + width as b, a, score, {mid} as mid, {ends} as ends, id)"
-    grouped = met.select("unit", "n", "len", F.expr(f"case when id is not null then {fields} end").alias("e")).groupBy("unit", "n", "len").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    edge = F.expr(f"case when id is not null then {fields} end").alias("e")
+    once = F.when(F.expr("a = 0 and width = 1"), F.col("homes")).alias("homes")
+    grouped = met.select("place", "unit", "len", edge, once).groupBy("place", "unit", "len").agg(F.sort_array(F.collect_list("e")).alias("edges"), F.first("homes", True).alias("homes"))
     return _with_ids(_merge_cuts(grouped) if model.kind == "bpe" else _viterbi_cuts(grouped, model), model)
 
 
@@ -264,7 +285,7 @@ def _viterbi_cuts(grouped: DataFrame, model: Model) -> DataFrame:
 
 
 def _with_ids(folded_units: DataFrame, model: Model) -> DataFrame:
-    """unit, n, ids: the edges that the cuts leave, and bytes or the unknown id for characters without a piece."""
+    """place, unit, homes, ids: the edges that the cuts leave, and bytes or the unknown id for characters without a piece."""
     left = folded_units.withColumn("left", F.expr("filter(edges, e -> (cuts & e.ends) = e.ends and (cuts & e.mid) = 0)"))
     own = "transform(array_sort(transform(left, e -> struct(e.ends as ends, e.id as id))), e -> e.id)"
     hexed = "hex(encode(substr(unit, i + 1, 1), 'utf-8'))"
@@ -274,180 +295,143 @@ def _with_ids(folded_units: DataFrame, model: Model) -> DataFrame:
     mixed = f"flatten(transform(filter(sequence(0, len - 1), i -> (cuts & shiftleft(1L, i)) <> 0), i -> if(size({at}) > 0, transform({at}, e -> e.id), {lost})))"
     if not raw:
         mixed = f"aggregate({mixed}, cast(array() as array<int>), (s, x) -> if(x = {model.unknown} and size(s) > 0 and element_at(s, -1) = x, s, array_append(s, x)))"
-    return left.select("unit", "n", F.expr(f"case when size(left) = bit_count(cuts) - 1 then {own} else {mixed} end").alias("ids"))
+    return left.select("place", "unit", "homes", F.expr(f"case when size(left) = bit_count(cuts) - 1 then {own} else {mixed} end").alias("ids"))
 
 
-def _counted(documents: DataFrame, path: str) -> DataFrame:
-    """unit, n of all texts: every task counts its words, a bounded number of distinct ones at a time, and cuts those."""
+def _planes(x: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Numbers below 2^32 by their low, second and high bytes, which compress better apart."""
+    return x.astype(np.uint8).tobytes(), (x >> 8).astype(np.uint8).tobytes(), (x >> 16).astype(np.uint16).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = load(path), Counter()
 
-        def table() -> pa.RecordBatch:
-            found: dict[str, int] = {}
-            for word, n in seen.items():
-                for u in units(model, word):
-                    if len(u) <= LONGEST:
-                        found[u] = found.get(u, 0) + n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "n"])
+def _from_planes(planes: tuple[bytes, bytes, bytes]) -> np.ndarray:
+    low, second, high = (np.frombuffer(p, t) for p, t in zip(planes, (np.uint8, np.uint8, np.uint16), strict=True))
+    return low + (second.astype(np.int64) << 8) + (high.astype(np.int64) << 16)
 
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                if text:
-                    seen.update(words(model, text))
-                    if len(seen) > COUNTED:
-                        yield table()
-        yield table()
-
-    return documents.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-
-
-def _packed(ids: pa.ListArray) -> list[bytes]:
-    """The ids of each row as little-endian unsigned 32-bit numbers."""
-    flat = np.asarray(ids.values).astype("<u4").tobytes()
-    ends = (4 * np.asarray(ids.offsets)).tolist()
-    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-
-class Assembler(dict):
-    """word -> ids as bytes, in one worker; remembers the words that need only frequent units."""
-
-    def __init__(self, model: Model, frequent: dict[str, bytes]) -> None:
-        super().__init__()
-        self.model, self._frequent, self._older, self._bytes = model, frequent, {}, 0
-        self.own: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._older.get(word)
-        if ids is None:
-            found = units(self.model, word)
-            parts = list(map(self._frequent.get, found))
-            if None in parts:
-                return b"".join([self._other(u) if p is None else p for u, p in zip(found, parts, strict=True)])
-            ids = b"".join(parts)
-        self._remember(word, ids)
-        return ids
-
-    def _remember(self, word: str, ids: bytes) -> None:
-        self._bytes += 160 + 4 * len(word) + len(ids)
-        if self._bytes > REMEMBERED_BYTES:
-            self._older, self._bytes = dict(self), 0
-            self.clear()
-        self[word] = ids
-
-    def _other(self, unit: str) -> bytes:
-        """The ids of a unit joined to the text, or of one too long for the lattice."""
-        ids = self.own.get(unit)
-        return np.array(fold(self.model, unit), "<u4").tobytes() if ids is None else ids
-
-    def rare(self, word: str) -> list[str]:
-        """The units of a word that are neither frequent nor overlong."""
-        ids = self._older.get(word)
-        if ids is None:
-            found = units(self.model, word)
-            parts = list(map(self._frequent.get, found))
-            if None in parts:
-                return [u for u, p in zip(found, parts, strict=True) if p is None and len(u) <= LONGEST]
-            ids = b"".join(parts)
-        self._remember(word, ids)
-        return []
 
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
-class _Units:
-    """The folded units, and the bounded part of them that every worker gets."""
 
-    def __init__(self, documents: DataFrame, path: str) -> None:
-        spark = documents.sparkSession
-        counted = written(_counted(documents, path))
-        tasks = max(1, -(-counted.count() // TASK_UNITS))
-        self.all = written(folded(spark, counted.repartition(tasks, "unit"), path))
-        step = F.floor(F.log2("n") * 16)
-        room, self.least = FREQUENT, 2**63 - 1
-        for r in self.all.groupBy(step.alias("step")).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():  # at most 16 * 64 rows
-            room -= r["units"]
-            if room < 0:
-                break
-            self.least = r["least"]
-        frequent = self.all.filter(F.col("n") >= self.least).select("unit", "ids").toArrow()  # at most FREQUENT rows of LONGEST characters
-        ids = [b for c in frequent.column("ids").chunks for b in _packed(c)]
-        self.broadcast = spark.sparkContext.broadcast((uuid.uuid4().hex, path, frequent.column("unit").to_pylist(), ids))
+class _Chunk:
+    """The texts of a chunk as numbers of its distinct words."""
 
-    def assembler(self) -> Callable[[], Assembler]:
-        shared = self.broadcast
+    def __init__(self) -> None:
+        self.numbers, self.indexes = _Numbers(), array("I")
+        self.rows: list[tuple[int | None, int, int, int]] = []  # doc_id, words, bytes, crc32 of the text
 
-        def make() -> Assembler:
-            name, path, names, ids = shared.value
-            if name not in _KEPT:
-                _KEPT.clear()
-                _KEPT[name] = Assembler(load(path), dict(zip(names, ids, strict=True)))
-            return _KEPT[name]
+    def add(self, doc_id: int | None, text: str, model: Model) -> None:
+        found, raw = words(model, text), text.encode("utf-8", "surrogatepass")
+        self.indexes.extend(map(self.numbers.__getitem__, found))
+        self.rows.append((doc_id, len(found), len(raw), zlib.crc32(raw)))
 
-        return make
+    def full(self) -> bool:
+        return len(self.indexes) >= CHUNK_WORDS or len(self.numbers) >= CHUNK_DISTINCT
 
+    def handed_on(self, chunk: int, lists: int, cutter: Cutter) -> pa.RecordBatch:
+        """A row for each list of units (place -1 - list), and one for the texts (place chunk).
 
-#: The assembler of the latest table, for all tasks of a worker.
-_KEPT: dict[str, Assembler] = {}
+        Units are numbered by list and then by their order in it; overlong ones come last, with their ids."""
+        found, begins = cutter.units(list(self.numbers))
+        distinct = sorted(dict.fromkeys(found))
+        of = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) % lists if len(u) <= LONGEST else lists for u in distinct], np.int64)
+        order = np.argsort(of, kind="stable")
+        distinct, sizes = [distinct[k] for k in order.tolist()], np.bincount(of, minlength=lists + 1)
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        ends = np.cumsum(sizes)
+        long = [fold(cutter.model, u) for u in distinct[ends[lists] - sizes[lists] :]]
+        doc_ids, counts, raw, crcs = zip(*self.rows, strict=True)
+        texts = {
+            "doc_ids": doc_ids, "counts": np.array(counts), "bytes": np.array(raw), "crcs": np.array(crcs), "sizes": sizes[:lists], "long": long, "begins": begins,
+            "units": _planes(np.fromiter(map(number.__getitem__, found), np.int64, len(found))), "words": _planes(np.frombuffer(self.indexes, np.uint32)),
+        }
+        used = np.flatnonzero(sizes[:lists]).tolist()
+        packed = zstd.ZstdCompressor(level=3).compress(pickle.dumps(texts, protocol=5))
+        places = pa.array([-1 - k for k in used] + [chunk], pa.int64())
+        homes = pa.array([chunk] * (len(used) + 1), pa.int64())
+        held = pa.array([distinct[ends[k] - sizes[k] : ends[k]] for k in used] + [None], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([places, homes, held, pa.array([None] * len(used) + [packed], pa.binary())], ["place", "home", "units", "texts"])
 
 
-def _with_rare(documents: DataFrame, known: _Units) -> DataFrame:
-    """doc_id, text and own, an array of (unit, ids): the units of the text that are not frequent.
+def _chunks(documents: DataFrame, path: str, lists: int) -> DataFrame:
+    """place, home, units, texts: what the chunks of each task hand on.
 
-    Texts are told apart by 128 bits of hashes. Copies list their units once."""
-    make_assembler = known.assembler()
-    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    A chunk's number is that of its partition and its place in it, so that a task that is run again hands on the same."""
 
-    def make():
-        table = make_assembler()
-
-        def find(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            out = []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                own = {u for w in set(words(table.model, text)) if w not in table for u in table.rare(w)}
-                if own:
-                    out.append((k, sorted(own)))
-            if not out:
-                return None
-            rows = pa.array([k for k, _ in out])
-            return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([u for _, u in out], pa.list_(pa.string()))], ["k1", "k2", "own"])
-
-        return find
-
-    lists = by_batch(keyed.select("k1", "k2", "text"), "k1 long, k2 long, own array<string>", make)
-    pairs = lists.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("own").alias("unit"))
-    rest = known.all.filter(F.col("n") < known.least).select("unit", "ids")
-    own = pairs.join(rest, "unit").groupBy("k1", "k2").agg(F.collect_list(F.struct("unit", "ids")).alias("own"))
-    return keyed.join(own, ["k1", "k2"], "left").select("doc_id", "text", "own")
-
-
-def _assembled(documents: DataFrame, path: str, schema: str, finish: Callable[[list[str], list[int], list[bytes]], list[pa.Array]]) -> DataFrame:
-    """doc_id and the columns that finish() makes of texts, numbers of words and ids."""
-    docs = documents_of(documents).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = _Units(docs, path)
-    make_assembler = known.assembler()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, chunk, n = Cutter(load(path)), _Chunk(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                chunk.add(doc_id, text.as_py() or "", cutter.model)
+                if chunk.full():
+                    yield chunk.handed_on(n, lists, cutter)
+                    chunk, n = _Chunk(), n + 1
+        if chunk.rows:
+            yield chunk.handed_on(n, lists, cutter)
+
+    return documents.mapInArrow(run, "place long, home long, units array<string>, texts binary")
+
+
+def _gathered(begins: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row after row of a ragged table (row k is flat[begins[k]:begins[k + 1]]), and where each begins (and the last ends)."""
+    sizes = (begins[1:] - begins[:-1])[rows]
+    ends = np.cumsum(sizes)
+    at = np.repeat((begins[:-1][rows] - ends + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], np.concatenate([[0], ends])
+
+
+def _put_together(texts: dict, lists: list[dict]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Runs of a chunk's documents: which, their ids and where each one's begin (and the last one's end)."""
+    if sorted((-1 - x["place"], len(x["sizes"])) for x in lists) != [(k, n) for k, n in enumerate(texts["sizes"].tolist()) if n]:
+        raise RuntimeError("the lists of units are not those of this chunk; its task gave other rows when it was run again")
+    lists = sorted(lists, key=lambda x: -x["place"])
+    sizes = np.concatenate([*(x["sizes"] for x in lists), [len(x) for x in texts["long"]], []]).astype(np.int64)
+    flat = np.concatenate([*(x["flat"] for x in lists), *texts["long"], []]).astype("<u4")
+    unit_begins = np.concatenate([[0], np.cumsum(sizes)])
+    flat, begins = _gathered(unit_begins, flat, _from_planes(texts["units"]))
+    begins = begins[texts["begins"]]
+    indexes, ends = _from_planes(texts["words"]), np.cumsum(texts["counts"])
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + 500_000, "right")))
+        ids, word_begins = _gathered(begins, flat, indexes[done : ends[last - 1]])
+        yield slice(first, last), ids, word_begins[np.concatenate([[done], ends[first:last]]) - done]
+        first = last
+
+
+def _assembled(documents: DataFrame, path: str, schema: str, finish: Callable[[dict, slice, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """doc_id, n_words and the columns that finish() makes of a chunk's texts, a run of them, their ids and where those begin."""
+    spark = documents.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _chunks(documents_of(documents), path, LISTS * partitions).repartition(partitions, "place")
+
+    def only(which: str) -> DataFrame:
+        """Rows of chunks. The condition names all columns and isn't pushed down, so that one exchange, and one reading of the texts, serves all."""
+        return chunks.filter(F.expr(f"if(spark_partition_id() >= 0, {which}, home is null and units is null and texts is null)"))
+
+    listed = only("place < 0").select("place", "home", F.posexplode_outer("units").alias("at", "unit"))
+    distinct = listed.groupBy("place", "unit").agg(F.collect_list(F.struct("home", "at")).alias("homes"))
+    back = folded(spark, distinct, path).select("place", "ids", F.explode("homes").alias("h")).select("place", "h.home", "h.at", "ids")
+    ordered = back.groupBy("place", "home").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("rows"))
+    packed = ordered.select("home", F.struct("place", F.expr("transform(rows, r -> size(r.ids))").alias("sizes"), F.expr("flatten(transform(rows, r -> r.ids))").alias("flat")).alias("list"))
+    lists = packed.groupBy(F.col("home").alias("place")).agg(F.collect_list("list").alias("lists"))
     names = [c.split()[0] for c in schema.split(",")]
 
-    def make():
-        table = make_assembler()
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, own = batch.column(1).to_pylist(), batch.column(2)
-            listed = own.is_valid().to_pylist()
-            counts, ids = [], []
-            for k, text in enumerate(texts):
-                table.own = {}
-                if listed[k]:
-                    pairs = own[k].values
-                    table.own = dict(zip(pairs.field("unit").to_pylist(), [np.array(x, "<u4").tobytes() for x in pairs.field("ids").to_pylist()], strict=True))
-                found = words(table.model, text)
-                counts.append(len(found))
-                ids.append(b"".join(map(table.__getitem__, found)))
-            table.own = {}
-            return pa.RecordBatch.from_arrays([batch.column(0), *finish(texts, counts, ids)], names)
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, found in zip(batch.column(0), batch.column(1), strict=True):
+                texts = pickle.loads(zstd.ZstdDecompressor().decompress(packed.as_py()))
+                parts = found.values or ()
+                lists = [{"place": x["place"].as_py(), "sizes": x["sizes"].values.to_numpy(False), "flat": x["flat"].values.to_numpy(False)} for x in parts]
+                for rows, ids, begins in _put_together(texts, lists):
+                    own = [pa.array(texts["doc_ids"][rows], pa.int64()), pa.array(texts["counts"][rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*own, *finish(texts, rows, ids, begins)], names)
 
-    return by_batch(_with_rare(docs, known), schema, make)
+    whole = only("place >= 0").select("place", "texts").join(lists, "place", "left").select("texts", "lists")
+    return whole.mapInArrow(run, schema)
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
@@ -457,10 +441,8 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     results, other columns are ignored, and an empty table gives no rows. Texts
     of any length are read whole. Equal scores merge leftmost first."""
 
-    def finish(texts: list[str], counts: list[int], ids: list[bytes]) -> list[pa.Array]:
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        return [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+    def finish(texts: dict, rows: slice, ids: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids.astype(np.int32)))]
 
     return _assembled(documents, path, "doc_id long, n_words long, ids array<int>", finish)
 
@@ -505,16 +487,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_words, n_pieces, ids_crc32, same: encoded and decoded again; `same` if that gives the text back.
+    """doc_id, n_words, n_pieces, ids_crc32, same: encoded and decoded again; `same` if that gives the text back
+    (by its length and crc32).
 
     ids_crc32 is that of the ids as little-endian unsigned 32-bit numbers.
     Null texts count as empty; repeated rows give repeated results, other
     columns are ignored, and an empty table gives no rows."""
 
-    def finish(texts: list[str], counts: list[int], ids: list[bytes]) -> list[pa.Array]:
-        sizes = [len(x) // 4 for x in ids]
-        back = _bytes_of(path, np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.cumsum([0, *sizes]))
-        same = [b.removeprefix(b" ") == t.encode("utf-8", "replace") for t, b in zip(texts, back, strict=True)]
-        return [pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(same, pa.bool_())]
+    def finish(texts: dict, rows: slice, ids: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
+        back = [b.removeprefix(b" ") for b in _bytes_of(path, ids.astype(np.int64), begins)]
+        same = [(len(b), zlib.crc32(b)) == x for b, x in zip(back, zip(texts["bytes"][rows].tolist(), texts["crcs"][rows].tolist(), strict=True), strict=True)]
+        raw, at = memoryview(ids.astype("<u4").tobytes()), (4 * begins).tolist()
+        sums = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        return [pa.array(np.diff(begins), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
 
     return _assembled(documents, path, "doc_id long, n_words long, n_pieces long, ids_crc32 long, same boolean", finish)
