@@ -37,8 +37,8 @@ from .common import by_batch, documents_of
 SPACE = "▁"
 #: The longest unit that is folded in Spark: its places are the bits of a long.
 LONGEST = 60
-#: Words and distinct words after which a chunk ends, and lists of units for each shuffle partition.
-CHUNK_WORDS, CHUNK_DISTINCT, LISTS = 6_000_000, 500_000, 4
+#: Words and distinct words after which a chunk ends, and how many times finer than the session's its partitions are.
+CHUNK_WORDS, CHUNK_DISTINCT, FINER = 4_000_000, 350_000, 2
 KNOWN_KINDS = {1: "unigram", 2: "bpe"}
 FLAG = 1 << 62
 
@@ -347,7 +347,7 @@ class _Chunk:
             "units": _planes(np.fromiter(map(number.__getitem__, found), np.int64, len(found))), "words": _planes(np.frombuffer(self.indexes, np.uint32)),
         }
         used = np.flatnonzero(sizes[:lists]).tolist()
-        packed = zstd.ZstdCompressor(level=3).compress(pickle.dumps(texts, protocol=5))
+        packed = zstd.ZstdCompressor(level=1).compress(pickle.dumps(texts, protocol=5))
         places = pa.array([-1 - k for k in used] + [chunk], pa.int64())
         homes = pa.array([chunk] * (len(used) + 1), pa.int64())
         held = pa.array([distinct[ends[k] - sizes[k] : ends[k]] for k in used] + [None], pa.list_(pa.string()))
@@ -405,8 +405,8 @@ def _put_together(texts: dict, lists: list[dict]) -> Iterator[tuple[slice, np.nd
 def _assembled(documents: DataFrame, path: str, schema: str, finish: Callable[[dict, slice, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
     """doc_id, n_words and the columns that finish() makes of a chunk's texts, a run of them, their ids and where those begin."""
     spark = documents.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _chunks(documents_of(documents), path, LISTS * partitions).repartition(partitions, "place")
+    partitions = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _chunks(documents_of(documents), path, partitions).repartition(partitions, "place")
 
     def only(which: str) -> DataFrame:
         """Rows of chunks. The condition names all columns and isn't pushed down, so that one exchange, and one reading of the texts, serves all."""
