@@ -38,7 +38,7 @@ SPACE = "▁"
 #: The longest unit that is folded in Spark: its places are the bits of a long.
 LONGEST = 60
 #: Words and distinct words after which a chunk ends, and how many times finer than the session's its partitions are.
-CHUNK_WORDS, CHUNK_DISTINCT, FINER = 4_000_000, 350_000, 2
+CHUNK_WORDS, CHUNK_DISTINCT, FINER = 4_000_000, 200_000, 2
 KNOWN_KINDS = {1: "unigram", 2: "bpe"}
 FLAG = 1 << 62
 
@@ -333,18 +333,26 @@ class _Chunk:
         """A row for each list of units (place -1 - list), and one for the texts (place chunk).
 
         Units are numbered by list and then by their order in it; overlong ones come last, with their ids."""
-        found, begins = cutter.units(list(self.numbers))
-        distinct = sorted(dict.fromkeys(found))
+        found, self.numbers = list(self.numbers), _Numbers()
+        seen, flat, begins = _Numbers(), array("I"), []
+        for k in range(0, len(found), 20_000):
+            own, at = cutter.units(found[k : k + 20_000])
+            begins.append(at[:-1] + len(flat))
+            flat.extend(map(seen.__getitem__, own))
+        begins = np.concatenate([*begins, [len(flat)]]).astype(np.int64)
+        del found
+        distinct = sorted(seen)
         of = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) % lists if len(u) <= LONGEST else lists for u in distinct], np.int64)
         order = np.argsort(of, kind="stable")
         distinct, sizes = [distinct[k] for k in order.tolist()], np.bincount(of, minlength=lists + 1)
         number = dict(zip(distinct, range(len(distinct)), strict=True))
         ends = np.cumsum(sizes)
+        renumbered = np.fromiter(map(number.__getitem__, seen), np.int64, len(seen))
         long = [fold(cutter.model, u) for u in distinct[ends[lists] - sizes[lists] :]]
         doc_ids, counts, raw, crcs = zip(*self.rows, strict=True)
         texts = {
             "doc_ids": doc_ids, "counts": np.array(counts), "bytes": np.array(raw), "crcs": np.array(crcs), "sizes": sizes[:lists], "long": long, "begins": begins,
-            "units": _planes(np.fromiter(map(number.__getitem__, found), np.int64, len(found))), "words": _planes(np.frombuffer(self.indexes, np.uint32)),
+            "units": _planes(renumbered[np.frombuffer(flat, np.uint32)]), "words": _planes(np.frombuffer(self.indexes, np.uint32)),
         }
         used = np.flatnonzero(sizes[:lists]).tolist()
         packed = zstd.ZstdCompressor(level=1).compress(pickle.dumps(texts, protocol=5))
