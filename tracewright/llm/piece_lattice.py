@@ -38,7 +38,7 @@ SPACE = "▁"
 #: The longest unit that is folded in Spark: its places are the bits of a long.
 LONGEST = 60
 #: Words and distinct words after which a chunk ends, and how many times finer than the session's its partitions are.
-CHUNK_WORDS, CHUNK_DISTINCT, FINER = 4_000_000, 200_000, 2
+CHUNK_WORDS, CHUNK_DISTINCT, FINER = 4_000_000, 300_000, 2
 KNOWN_KINDS = {1: "unigram", 2: "bpe"}
 FLAG = 1 << 62
 
@@ -103,9 +103,9 @@ def load(path: str) -> Model:
             raw[int(p[3:5], 16)] = i
         elif not (library.is_control(i) or library.is_unknown(i) or library.is_unused(i)):
             pieces[p] = (i, library.get_score(i))
-    if any(SPACE in p.lstrip(SPACE) for p in pieces):
-        raise ValueError("a piece goes over the end of a word")
-    plain = not normalizer.get(2) and normalizer.get(3, 1) == 1 and normalizer.get(4, 1) == 0 and normalizer.get(5, 1) == 1
+    if any(SPACE in p.lstrip(SPACE) for p in pieces) or not normalizer.get(5, 1):
+        raise ValueError("a piece goes over the end of a word, or spaces stay as they are")
+    plain = not normalizer.get(2) and normalizer.get(3, 1) == 1 and normalizer.get(4, 1) == 0
     return model_of(kind, pieces, raw, library.unk_id(), library, plain)
 
 
@@ -329,10 +329,11 @@ class _Chunk:
     def full(self) -> bool:
         return len(self.indexes) >= CHUNK_WORDS or len(self.numbers) >= CHUNK_DISTINCT
 
-    def handed_on(self, chunk: int, lists: int, cutter: Cutter) -> pa.RecordBatch:
-        """A row for each list of units (place -1 - list), and one for the texts (place chunk).
+    def handed_on(self, chunk: int, places: list[int], cutter: Cutter) -> pa.RecordBatch:
+        """A row for each list of units (at a place of its own), and one for the texts (place chunk).
 
-        Units are numbered by list and then by their order in it; overlong ones come last, with their ids."""
+        A list is one string, in which spaces part the units. Units are
+        numbered by first use; overlong ones go with the texts, with their ids."""
         found, self.numbers = list(self.numbers), _Numbers()
         seen, flat, begins = _Numbers(), array("I"), []
         for k in range(0, len(found), 20_000):
@@ -342,27 +343,38 @@ class _Chunk:
         begins = np.concatenate([*begins, [len(flat)]]).astype(np.int64)
         del found
         distinct = sorted(seen)
-        of = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) % lists if len(u) <= LONGEST else lists for u in distinct], np.int64)
-        order = np.argsort(of, kind="stable")
-        distinct, sizes = [distinct[k] for k in order.tolist()], np.bincount(of, minlength=lists + 1)
-        number = dict(zip(distinct, range(len(distinct)), strict=True))
-        ends = np.cumsum(sizes)
-        renumbered = np.fromiter(map(number.__getitem__, seen), np.int64, len(seen))
-        long = [fold(cutter.model, u) for u in distinct[ends[lists] - sizes[lists] :]]
+        of = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) % len(places) if len(u) <= LONGEST else len(places) for u in distinct], np.int64)
+        order = np.argsort(of, kind="stable").tolist()
+        ends = np.cumsum(np.bincount(of, minlength=len(places) + 1)).tolist()
+        held = {places[k]: [distinct[j] for j in order[a:b]] for k, (a, b) in enumerate(zip([0, *ends], ends[:-1], strict=False)) if a < b}
+        long = {seen[distinct[j]]: fold(cutter.model, distinct[j]) for j in order[ends[-2] :]}
+        numbers = np.fromiter((seen[u] for units in held.values() for u in units), np.int64, len(distinct) - len(long))
         doc_ids, counts, raw, crcs = zip(*self.rows, strict=True)
         texts = {
-            "doc_ids": doc_ids, "counts": np.array(counts), "bytes": np.array(raw), "crcs": np.array(crcs), "sizes": sizes[:lists], "long": long, "begins": begins,
-            "units": _planes(renumbered[np.frombuffer(flat, np.uint32)]), "words": _planes(np.frombuffer(self.indexes, np.uint32)),
+            "doc_ids": doc_ids, "counts": np.array(counts), "bytes": np.array(raw), "crcs": np.array(crcs), "lists": [(place, len(units)) for place, units in held.items()], "long": long,
+            "begins": _planes(np.diff(begins)), "numbers": _planes(numbers), "units": _planes(_new_ones(np.frombuffer(flat, np.uint32))), "words": _planes(_new_ones(np.frombuffer(self.indexes, np.uint32))),
         }
-        used = np.flatnonzero(sizes[:lists]).tolist()
-        packed = zstd.ZstdCompressor(level=1).compress(pickle.dumps(texts, protocol=5))
-        places = pa.array([-1 - k for k in used] + [chunk], pa.int64())
-        homes = pa.array([chunk] * (len(used) + 1), pa.int64())
-        held = pa.array([distinct[ends[k] - sizes[k] : ends[k]] for k in used] + [None], pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([places, homes, held, pa.array([None] * len(used) + [packed], pa.binary())], ["place", "home", "units", "texts"])
+        packed = zstd.ZstdCompressor(level=3).compress(pickle.dumps(texts, protocol=5))
+        rows = [pa.array([*held, chunk], pa.int64()), pa.array([chunk] * (len(held) + 1), pa.int64()), pa.array([*map(" ".join, held.values()), None], pa.string()), pa.array([None] * len(held) + [packed], pa.binary())]
+        return pa.RecordBatch.from_arrays(rows, ["place", "home", "units", "texts"])
 
 
-def _chunks(documents: DataFrame, path: str, lists: int) -> DataFrame:
+def _new_ones(x: np.ndarray) -> np.ndarray:
+    """Numbers given by first use, with 0 for the first use of each and one more for all others."""
+    out = x.astype(np.int64) + 1
+    out[np.unique(x, return_index=True)[1]] = 0
+    return out
+
+
+def _old_ones(x: np.ndarray) -> np.ndarray:
+    """What _new_ones() was made from."""
+    first = x == 0
+    out = x - 1
+    out[first] = np.arange(first.sum())
+    return out
+
+
+def _chunks(documents: DataFrame, path: str, places: list[int]) -> DataFrame:
     """place, home, units, texts: what the chunks of each task hand on.
 
     A chunk's number is that of its partition and its place in it, so that a task that is run again hands on the same."""
@@ -373,12 +385,12 @@ def _chunks(documents: DataFrame, path: str, lists: int) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 chunk.add(doc_id, text.as_py() or "", cutter.model)
                 if chunk.full():
-                    yield chunk.handed_on(n, lists, cutter)
+                    yield chunk.handed_on(n, places, cutter)
                     chunk, n = _Chunk(), n + 1
         if chunk.rows:
-            yield chunk.handed_on(n, lists, cutter)
+            yield chunk.handed_on(n, places, cutter)
 
-    return documents.mapInArrow(run, "place long, home long, units array<string>, texts binary")
+    return documents.mapInArrow(run, "place long, home long, units string, texts binary")
 
 
 def _gathered(begins: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -392,15 +404,19 @@ def _gathered(begins: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[n
 
 def _put_together(texts: dict, lists: list[dict]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Runs of a chunk's documents: which, their ids and where each one's begin (and the last one's end)."""
-    if sorted((-1 - x["place"], len(x["sizes"])) for x in lists) != [(k, n) for k, n in enumerate(texts["sizes"].tolist()) if n]:
+    lists = sorted(lists, key=lambda x: x["place"])
+    if [(x["place"], len(x["sizes"])) for x in lists] != sorted(texts["lists"]):
         raise RuntimeError("the lists of units are not those of this chunk; its task gave other rows when it was run again")
-    lists = sorted(lists, key=lambda x: -x["place"])
-    sizes = np.concatenate([*(x["sizes"] for x in lists), [len(x) for x in texts["long"]], []]).astype(np.int64)
-    flat = np.concatenate([*(x["flat"] for x in lists), *texts["long"], []]).astype("<u4")
+    by_place = {x["place"]: x for x in lists}
+    lists = [by_place[place] for place, _ in texts["lists"]]
+    sizes = np.concatenate([*(x["sizes"] for x in lists), [len(x) for x in texts["long"].values()], []]).astype(np.int64)
+    flat = np.concatenate([*(x["flat"] for x in lists), *texts["long"].values(), []]).astype("<u4")
+    place_of = np.empty(len(sizes), np.int64)  # where in these a unit's number is
+    place_of[np.concatenate([_from_planes(texts["numbers"]), list(texts["long"]), []]).astype(np.int64)] = np.arange(len(sizes))
     unit_begins = np.concatenate([[0], np.cumsum(sizes)])
-    flat, begins = _gathered(unit_begins, flat, _from_planes(texts["units"]))
-    begins = begins[texts["begins"]]
-    indexes, ends = _from_planes(texts["words"]), np.cumsum(texts["counts"])
+    flat, begins = _gathered(unit_begins, flat, place_of[_old_ones(_from_planes(texts["units"]))])
+    begins = begins[np.concatenate([[0], np.cumsum(_from_planes(texts["begins"]))])]
+    indexes, ends = _old_ones(_from_planes(texts["words"])), np.cumsum(texts["counts"])
     first = 0
     while first < len(ends):
         done = ends[first - 1] if first else 0
@@ -414,18 +430,20 @@ def _assembled(documents: DataFrame, path: str, schema: str, finish: Callable[[d
     """doc_id, n_words and the columns that finish() makes of a chunk's texts, a run of them, their ids and where those begin."""
     spark = documents.sparkSession
     partitions = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _chunks(documents_of(documents), path, partitions).repartition(partitions, "place")
+    held = F.pmod(F.hash("id"), F.lit(partitions))  # the places of lists: one for each partition
+    places = [r["id"] for r in spark.range(-32 * partitions, 0).groupBy(held).agg(F.max("id").alias("id")).collect()]
+    chunks = _chunks(documents_of(documents), path, sorted(places)).repartition(partitions, "place")
 
     def only(which: str) -> DataFrame:
         """Rows of chunks. The condition names all columns and isn't pushed down, so that one exchange, and one reading of the texts, serves all."""
         return chunks.filter(F.expr(f"if(spark_partition_id() >= 0, {which}, home is null and units is null and texts is null)"))
 
-    listed = only("place < 0").select("place", "home", F.posexplode_outer("units").alias("at", "unit"))
+    listed = only("place < 0").select("place", "home", F.posexplode_outer(F.split("units", " ")).alias("at", "unit"))
     distinct = listed.groupBy("place", "unit").agg(F.collect_list(F.struct("home", "at")).alias("homes"))
     back = folded(spark, distinct, path).select("place", "ids", F.explode("homes").alias("h")).select("place", "h.home", "h.at", "ids")
     ordered = back.groupBy("place", "home").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("rows"))
-    packed = ordered.select("home", F.struct("place", F.expr("transform(rows, r -> size(r.ids))").alias("sizes"), F.expr("flatten(transform(rows, r -> r.ids))").alias("flat")).alias("list"))
-    lists = packed.groupBy(F.col("home").alias("place")).agg(F.collect_list("list").alias("lists"))
+    packed = ordered.select("home", F.struct("place", F.expr("transform(rows, r -> cast(size(r.ids) as smallint))").alias("sizes"), F.expr("flatten(transform(rows, r -> r.ids))").alias("flat")).alias("list"))
+    lists = packed.withColumnRenamed("home", "place").repartition(partitions, "place").groupBy("place").agg(F.collect_list("list").alias("lists"))
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
