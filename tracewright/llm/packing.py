@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .byte_bpe import load, tokenizer_path
+from .byte_bpe import load, proof, tokenizer_path
 from .common import by_batch, documents_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,9 +27,10 @@ Recipe = tuple[int, list[tuple[int, int]]]
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row for each piece: whole documents, or `capacity`-token cuts whose first may be shorter."""
+    proved = proof(vocabulary)
 
     def make():
-        table, end = load(vocabulary), array("I", [end_id]).tobytes()
+        table, end = load(vocabulary, proved), array("I", [end_id]).tobytes()
 
         def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple] = []
@@ -115,8 +116,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, e
 
     A null or empty text is the end token alone. Documents over `capacity`
     tokens are cut from their end, so that only the first piece is shorter.
-    Repeated rows are packed as often as they occur; an empty table gives no
-    rows; other columns are ignored."""
+    Texts of any length are read whole. Repeated rows are packed as often as
+    they occur, pieces of equal length in the order of doc_id and piece; an
+    empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     pieces = token_pieces(docs, vocabulary or tokenizer_path(), capacity, end_id)
     pieces = written(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")))

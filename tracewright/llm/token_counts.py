@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_bpe import load, tokenizer_path
+from .byte_bpe import load, proof, tokenizer_path
 from .common import by_batch, documents_of
 
 
@@ -13,12 +13,13 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 51
     """doc_id, n_bytes, n_tokens and over_limit of every whole text.
 
     A null text counts as empty (0 bytes, 0 tokens, not over the limit).
-    Repeated rows give repeated results; other columns are ignored; a text of
-    any length is one pass without copies of more than itself."""
+    Repeated rows give repeated results; other columns are ignored; an empty
+    table gives no rows. A text of any length is read whole, in one pass."""
     path = vocabulary or tokenizer_path()
+    proved = proof(path)
 
     def make():
-        table = load(path)
+        table = load(path, proved)
 
         def count(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
