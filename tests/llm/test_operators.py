@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -13,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import language_id, main_text, near_dedup, packing, pii, piece_lattice, quality, secret_scan, token_counts, vector_search
+from tracewright.llm import language_id, main_text, near_dedup, packing, pii, piece_lattice, quality, queries, secret_scan, token_counts, vector_search
 from tracewright.llm.byte_bpe import load, tokenizer_path
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -197,6 +199,59 @@ def test_html_short_parts_beside_sections():
     assert main_text.main_text(f"<body><div id=page>{section}<p>Of.</p>{brief}{brief}</div></body>").count("A brief section.") == 40
 
 
+def test_html_keeps_parts_of_the_article():
+    line = ("Words of a long paragraph. " * 16).strip()
+    inner = f'<div class="entry-header"><h1>Title</h1></div><p>{line}</p><p id="related-work">Related work is this.</p><div class="legal case">The case was closed.</div><p>{line}</p>'
+    want = ["Title", line, "Related work is this.", "The case was closed.", line]
+    for page in (f"<article>{inner}</article>", f"<div>{inner}</div>", f"<main><div class=notice>We use them.</div>{inner}<div class='share-buttons'>Share it</div></main>"):
+        assert main_text.main_text(f"<body>{page}</body>").split("\n") == want, page[:30]
+
+
+def test_html_density_chooses_by_brute_force():
+    """The largest sum of child densities, recomputed for random trees, lies in what main_text returns."""
+    r = random.Random(12)
+
+    def tree(depth):
+        if not depth or r.random() < 0.3:
+            words = " ".join(r.choice(VOCABULARY) for _ in range(r.randint(1, 30)))
+            return f"<p>{words}</p>" if r.random() < 0.7 else f"<a href=/x>{words}</a>"
+        return "<div>" + "".join(tree(depth - 1) for _ in range(r.randint(1, 4))) + "</div>"
+
+    def counts(node):
+        chars, tags, linked, links = 0, 0, 0, 0
+        for p in node.parts:
+            if isinstance(p, str):
+                chars += len("".join(p.split()))
+            else:
+                c = counts(p)
+                chars, tags, linked, links = chars + c[0], tags + c[1] + 1, linked + c[2], links + c[3]
+        return (chars, tags, chars, links + 1) if node.tag == "a" else (chars, tags, linked, links)
+
+    for _ in range(60):
+        root = main_text.parsed("<body>" + tree(4) + tree(4) + "</body>")
+        order, whole = main_text.measured(root), counts(root)
+
+        def density(node, whole=whole):
+            c, t, lc, lt = counts(node)
+            if not c:
+                return 0.0
+            base = np.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + np.e)
+            return max(1e-9, c / max(1, t) * np.log(max(1.0, c / max(1, lc) * (max(1, t) / max(1, lt)))) / base)
+
+        sums = [sum(density(p) for p in n.parts if not isinstance(p, str)) for n in order]
+        assert np.allclose(sums, [n.total for n in order])
+        assert main_text._densest(order) is order[int(np.argmax([n.total for n in order]))]
+
+
+def test_html_of_any_shape_is_linear(spark):
+    shapes = {"<a b": 250_000, '<a "': 250_000, "<!-- ": 200_000, "<": 500_000, "&amp": 200_000, "<table><tr><td>": 30_000, "<dt><b>": 30_000}
+    pages = [x * n for x, n in shapes.items()] + ["<div>" * 20_000 + "</span></section></b>" * 50_000, "<div>" * 20_000 + "<li>x" * 50_000, "<p><b>" * 30_000 + "<hr>" * 50_000]
+    began = time.perf_counter()
+    assert main_text.main_text(pages[0]) == "<a b" * 250_000 and len([main_text.main_text(x) for x in pages]) == len(pages)
+    assert time.perf_counter() - began < 60
+    assert main_text.extracted(spark.createDataFrame([], "page_id long, url string, html string, n_chars string")).count() == 0
+
+
 def secrets_of(t):
     t = t or ""
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
@@ -265,27 +320,62 @@ def test_language_id(spark, none):
     assert language_id.language_id(none).count() == 0
 
 
-def test_pieces_round_trip(docs, spark):
+def piece_texts() -> list[str | None]:
+    r = random.Random(1)
+    parts = ["a", " ", "  ", "\n", "the", "ing", "é", "日", "▁", "\t", "x" * 70, "###", "ab" * 40, "€", "\x00", "ﬁ", "e", "s", " t", "1", "2024"]
+    made = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(300)]
+    return [*made, None, "", " ", "\n", " \n", "\n ", "a" * 1_000_000, "héllo wörld", "héllo wörld", " ".join(f"w{k}" for k in range(3000))]
+
+
+@pytest.mark.parametrize("chunk", [4_000_000, 300])
+def test_pieces_against_the_library(spark, monkeypatch, chunk):
+    monkeypatch.setattr(piece_lattice, "CHUNK_WORDS", chunk)
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, rows = piece_lattice.load(path).library, list(enumerate(piece_texts()))
+    df = spark.createDataFrame([(k, t, "clash", 1) for k, t in [*rows, rows[0]]], "doc_id long, text string, ids string, place int")
+    ids = {k: library.encode(t or "") for k, t in rows}
+    encoded = piece_lattice.encode(df, path)
+    assert encoded.count() == len(rows) + 1 and all(r["ids"] == ids[r["doc_id"]] for r in encoded.collect())
+    assert all(r["text"] == (rows[r["doc_id"]][1] or "").replace("▁", " ") for r in piece_lattice.decode(encoded, path).collect())
+    for r in piece_lattice.round_trip(df, path).collect():
+        text, own = rows[r["doc_id"]][1] or "", ids[r["doc_id"]]
+        assert (r["n_pieces"], r["ids_crc32"]) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes())), text
+        assert r["same"] == ("▁" not in text), text
+
+
+def test_registered_piece_query(spark, none, tmp_path):
+    library = piece_lattice.load(tokenizer_path("piece_bpe_32k.model")).library
+    texts = [None, "", "the tokenization of words", "the tokenization of words", "日本 x\ny"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = by_id(queries.op6_sentencepiece(spark, str(tmp_path)))
+    assert {k: r["n_pieces"] for k, r in found.items()} == {k: len(library.encode(t or "")) for k, t in enumerate(texts)}
+    assert piece_lattice.round_trip(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
+def places(spark, words):
+    return spark.createDataFrame([(0, w, [(1, k)]) for k, w in enumerate(words)], "place long, unit string, homes array<struct<home:long,at:int>>")
+
+
+def test_lattices_fold_like_the_heap(spark):
+    """Also where a piece becomes ready late, which the one pass over the edges hands to the other fold."""
     path = tokenizer_path("piece_bpe_32k.model")
-    library = piece_lattice.load(path).library
-    got = by_id(piece_lattice.encode(docs, path))
-    for r in docs.collect():
-        assert got[r["doc_id"]]["ids"] == library.encode(r["text"] or "")
-    back = by_id(piece_lattice.decode(piece_lattice.encode(docs, path), path))
-    assert all(back[r["doc_id"]]["text"] == (r["text"] or "") for r in docs.collect())
-    words = spark.createDataFrame([(w,) for w in ["▁Hello", "▁wörld", "▁the", "日本", "▁▁▁x", "\n", "▁tokenization", "▁hello,there"]], "word string")
     model = piece_lattice.load(path)
-    for r in piece_lattice.encode_words(spark, words, path).collect():
-        assert r["ids"] == piece_lattice.fold(model, r["word"]), r["word"]
+    r = random.Random(5)
+    long = sorted(p for p in model.pieces if len(p) > 3)
+    words = sorted({u for _ in range(1500) for u in piece_lattice.Cutter(model).units(["".join(r.choice(long)[r.randint(0, 2) :] for _ in range(r.randint(1, 4)))])[0] if len(u) <= piece_lattice.LONGEST and u})
+    found = piece_lattice.folded(spark, places(spark, words), path).collect()
+    assert len(found) == len(words)
+    for x in found:
+        assert x["ids"] == piece_lattice.fold(model, x["unit"]), x["unit"]
 
 
 def test_unigram_lattice_folds_alike(spark, monkeypatch):
-    bpe = piece_lattice.load(tokenizer_path("piece_bpe_32k.model"))
+    library = piece_lattice.load(tokenizer_path("piece_bpe_32k.model")).library
     r = random.Random(6)
     pieces = {p: (k, -r.random() * 10) for k, p in enumerate(["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bb"])}
-    model = piece_lattice.Model("unigram", pieces, {}, 99, 3, True, frozenset(), bpe.library)
+    model = piece_lattice.model_of("unigram", pieces, {}, 99, library, False)
     monkeypatch.setattr(piece_lattice, "load", lambda path: model)
-    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(30)]
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(30)})
 
     def best(w):
         if not w:
@@ -293,8 +383,29 @@ def test_unigram_lattice_folds_alike(spark, monkeypatch):
         return max(((best(w[n:])[0] + pieces[w[:n]][1], [pieces[w[:n]][0], *best(w[n:])[1]]) for n in (1, 2, 3) if w[:n] in pieces), key=lambda x: x[0])
 
     assert all(piece_lattice.fold(model, w) == best(w)[1] for w in words)
-    rows = piece_lattice.encode_words(spark, spark.createDataFrame([(w,) for w in set(words)], "word string"), "x").collect()
-    assert all(r["ids"] == best(r["word"])[1] for r in rows)
+    assert {x["unit"]: x["ids"] for x in piece_lattice.folded(spark, places(spark, words), "x").collect()} == {w: best(w)[1] for w in words}
+    assert [x["ids"] for x in piece_lattice.folded(spark, places(spark, ["azzb"]), "x").collect()] == [[pieces["a"][0], 99, pieces["b"][0]]]
+
+
+def brute_top(x, every=50, k=5):
+    out = []
+    for q in x:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(x[q], x[v], strict=True)), v) for v in x if v != q and len(x[v]) == len(x[q]))[:k]
+            out += [(q, n + 1, v, max(-(2**63), min(2**63 - 1, -s))) for n, (s, v) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard", [64, 8192])
+@pytest.mark.parametrize("size", [1.0, 1e7, 1e14])
+def test_exact_top_k_of_large_components(spark, monkeypatch, shard, size):
+    """Scores beyond 2^53 and 2^63 rank exactly; components too large for any sum take no part."""
+    monkeypatch.setattr(vector_search, "SHARD", shard)
+    r = np.random.RandomState(1)
+    rows = [(k, [float(v) for v in r.randn(5) * size]) for k in range(300)] + [(2000 + k, [size * 2**10, float(k % 7) / 256]) for k in range(100)]
+    df = spark.createDataFrame([*rows, (5000, [1e300] * 5), (5050, [-1e300] * 5)], "vec_id long, embedding array<double>")
+    want = brute_top({k: [math.floor(256 * a) for a in v] for k, v in rows})
+    assert sorted(tuple(t) for t in vector_search.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == want
 
 
 @pytest.mark.parametrize("shard", [64, 8192])

@@ -10,6 +10,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import by_batch
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Kinds of elements.
@@ -31,10 +35,15 @@ PARTS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 INLINE = frozenset("b i em strong a span font u s small big code tt cite abbr sub sup mark q kbd samp var del ins label".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup "
-    "login popup popover modal overlay paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist disqus respond reply replies "
-    "share sharing social related recommended recommendations pagination pager widget widgets skip toc copyright legal disclaimer hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription signup "
+    "login popup popover modal overlay paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer topbar toolbar comment comments commentlist disqus respond reply replies "
+    "recommended recommendations pagination pager".split()
 )
+#: Words that suspect a node only where its class or id has no others but these, NOISE_WORDS and words of layout.
+WEAK_WORDS = frozenset("notice notices alert foot header masthead share sharing social related widget widgets skip toc copyright legal disclaimer hidden".split())
+LAYOUT_WORDS = frozenset("area articles bar block bottom box btn button buttons container content global group icon icons inner item items left link links list module page panel posts right row section site stories text top wrap wrapper".split())
+#: Elements whose ids are anchors in a text.
+TEXT_TAGS = HEADINGS | frozenset("p li dt dd td th tr pre blockquote figure table".split())
 #: A node that a word of its class or id suspects is noise up to so many characters outside links, or up to so large a share of the page's.
 LITTLE, SHARE = 200, 0.2
 
@@ -64,61 +73,99 @@ def _noise(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]
             return True, suspect
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, suspect
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            suspect = True
+        if name == "class" or name == "id" and tag not in TEXT_TAGS:
+            words = set(re.split(r"[^a-z0-9]+", value)) - {""}
+            suspect |= not NOISE_WORDS.isdisjoint(words) or not WEAK_WORDS.isdisjoint(words) and words <= WEAK_WORDS | LAYOUT_WORDS
     return False, suspect
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, tag, attributes or text, end) of a page; kind is "text", "open" or "close". The caller may send the place to go on from.
+
+    Quotes in a tag hide its end. Where they are not closed the next > ends it;
+    looking for their ends in vain is given up once that took a few times the page's length."""
+    at, n, spent = 0, len(page), 0
+    while at < n:
+        start = page.find("<", at)
+        if start != at:
+            end = n if start < 0 else start
+            at = (yield "text", "", page[at:end], end) or end
+            continue
+        if (m := _MARKUP.match(page, at)) is not None:
+            at = m.end()
+            continue
+        end = -1
+        if (m := _NAME.match(page, at)) is not None:
+            if spent <= 4 * n and (found := _QUOTED.match(page, m.end())) is not None:
+                end = found.end()
+            else:
+                spent += n - at
+                end = page.find(">", m.end()) + 1 or -1
+        if end < 0:
+            if m is not None:  # no tag ends any more
+                yield "text", "", page[at:], n
+                return
+            at = (yield "text", "", "<", at + 1) or at + 1
+        else:
+            at = (yield "close" if m[1] else "open", m[2].lower(), page[m.end() : end - 1], end) or end
+
+
 def parsed(page: str) -> Node:
     """The page's tree under its body; dropped elements keep their place but are marked."""
-    root = Node("body", None)
-    at, n, node = 0, len(page), root
-    articles = 0
-    low: str | None = None
-    while at < n and (m := _TOKEN.match(page, at)):
-        at = m.end()
-        if m[4] is not None:
-            node.parts.append(m[4])
+    root = node = Node("body", None)
+    held = Counter()  # open elements by tag
+    stream, jump = tokens(page), None
+
+    def leave(up: Node) -> Node:
+        """Closes all up to and with a node."""
+        at = node
+        while at is not up:
+            held[at.tag] -= 1
+            at = at.parent
+        held[up.tag] -= 1
+        return up.parent
+
+    while True:
+        try:
+            kind, tag, inner, end = stream.send(jump)
+        except StopIteration:
+            return root
+        jump = None
+        if kind == "text":
+            node.parts.append(inner)
             continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not None and up.tag != tag and not (tag in INLINE and up.tag in BLOCKS):
-                up = up.parent
-            if up is not None and up.tag == tag and up is not root:
-                while node is not up:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
-                articles -= node.tag in ("article", "main")
-                node = node.parent
+        if kind == "close":
+            if held[tag] > 0:
+                up = node
+                while up.tag != tag and not (tag in INLINE and up.tag in BLOCKS):
+                    up = up.parent
+                if up.tag == tag:
+                    node = leave(up)
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P:
-            up = node
-            while up is not None and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
+            if held["p"] > 0:
+                up = node
+                while up.tag != "p" and up.tag not in BLOCKS:
+                    up = up.parent
+                if up.tag == "p":
+                    node = leave(up)
         elif tag in PARTS:
-            up = node
-            while up is not None and up.tag not in SIBLINGS[tag]:
-                if up.tag in PARTS[tag]:
-                    node = up.parent
-                up = up.parent
+            left, up = sum(held[x] for x in PARTS[tag]), node
+            while left > 0 and up.tag not in SIBLINGS[tag]:
+                left -= up.tag in PARTS[tag]
+                up, node = up.parent, leave(up) if up.tag in PARTS[tag] else node
         if node.tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
-            node = node.parent
-        made = Node(tag, node, *_noise(tag, m[3], articles > 0))
+            node = leave(node)
+        made = Node(tag, node, *_noise(tag, inner, held["article"] + held["main"] > 0))
         node.parts.append(made)
         if tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
-            made.noise, at = True, end.end() if end else n
+            found = _RAW_END[tag].search(page, end)
+            made.noise, jump = True, found.end() if found else len(page)
         elif tag not in VOID:
             node = made
-            articles += tag in ("article", "main")
-    return root
+            held[tag] += 1
 
 
 def measured(root: Node) -> list[Node]:
@@ -158,9 +205,9 @@ def _densest(order: list[Node]) -> Node:
 
 
 def _named(order: list[Node], best: Node) -> Node | None:
-    """The outermost article or main that is the main part, if the page has one."""
+    """The outermost article or main around the largest sum, or one within it that has most of that sum, if there is any."""
     for node in order:
-        if node.tag in ("article", "main") and node.chars >= 0.5 * best.chars and (_within(best, node) or _within(node, best)):
+        if node.tag in ("article", "main") and (_within(best, node) or _within(node, best) and node.total >= 0.5 * best.total):
             return node
     return None
 
@@ -319,9 +366,11 @@ def _collect(top: Node, start: Node, least: float, lines: list[str]) -> None:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    A null or empty page, or one without an article, has an empty text.
-    Repeated rows give repeated results; other columns are ignored; pages of
-    any length and nesting are read whole and without recursion."""
+    A null or empty page, or one without an article, has an empty text. Of
+    nodes with equal sums the first one counts. Repeated rows give repeated
+    results; other columns are ignored; an empty table gives no rows. Pages of
+    any length and nesting are read whole, in time linear in them and without
+    recursion."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def make():
