@@ -7,12 +7,14 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard as zstd
 from pyspark.sql import functions as F
 
 from tracewright.llm import language_id, main_text, near_dedup, packing, pii, piece_lattice, quality, queries, secret_scan, token_counts, vector_search
@@ -109,6 +111,40 @@ def test_near_duplicates_in_hot_neighbourhoods(spark, monkeypatch):
     assert {k: v["component_id"] for k, v in by_id(near_dedup.near_duplicates(df)).items()} == want
 
 
+def test_near_duplicates_of_shared_doc_ids(spark):
+    """Rows of one doc_id count as one document, that of the text with the least digest, in every run."""
+    r = random.Random(10)
+    words = [" ".join(r.choice(VOCABULARY) + str(r.randint(0, 30)) for _ in range(80)) for _ in range(6)]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1].upper()), (2, words[0] + " tail"), (3, words[1] + " tail"), (4, words[2]), (4, words[2]), (None, words[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((x["doc_id"] or 0, x["component_id"] or 0) for x in near_dedup.near_duplicates(df.repartition(n)).collect()) for n in (1, 3)]
+    assert got[0] == got[1] and got[0][1:4] == [(1, 1)] * 3
+    own = min(words[:2], key=lambda t: near_dedup._digest(near_dedup.shingle_hashes(t, near_dedup._Words())))
+    assert dict(got[0])[2 + words.index(own)] == 1 and dict(got[0])[3 - words.index(own)] == 3 - words.index(own)
+
+
+def test_template_family_and_recall(spark):
+    """A large family at similarity 0.5, which links with nothing, beside pairs at 0.8 and more: all true pairs are found."""
+    r = random.Random(13)
+    form = [f"t{k}" for k in range(100)]
+    rows = [(k, " ".join(form) + " " + " ".join(f"{k}x{j}" for j in range(49))) for k in range(5000)]
+    sets = {}
+    for k in range(300):
+        base = [f"p{k}w{j}" for j in range(150)]
+        near = list(base)
+        for j in r.sample(range(0, 150, 5), 7):
+            near[j] = f"q{k}w{j}"
+        rows += [(10_000 + 2 * k, " ".join(base)), (10_001 + 2 * k, " ".join(near))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        sets[10_001 + 2 * k] = len(a & b) / len(a | b)
+    found = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert all(found[k]["kept"] for k in range(5000))
+    assert all(0.79 < x < 0.95 for x in sets.values())
+    true = [k for k, x in sets.items() if x >= 0.8]
+    assert len(true) > 200 and sum(found[k]["component_id"] == k - 1 for k in true) >= 0.9 * len(true)
+    assert all(found[k]["kept"] for k, x in sets.items() if x < 0.8)
+
+
 def test_signatures_guarantee_close_pairs(spark):
     """Any two signatures with at most 2 * chunks - 1 differing symbols share a key."""
     r = np.random.RandomState(3)
@@ -143,6 +179,40 @@ def test_quality_base(docs, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def test_quality_verdicts_by_brute_force(docs, spark):
+    """kept and p_good, from the rules and expectation maximisation in plain Python over all rows."""
+    extra = [" ".join(["Plain", "words", "in", "an", "ordinary", "sentence", "number", str(k), "of", "many"] * 1 + [VOCABULARY[(k * j) % 24] for j in range(60)]) for k in range(120)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"] or "") for r in both.collect()]
+
+    def votes(t):
+        w = WORD.findall(t)
+        n, chars, symbols, dup, repeat = counted(t)
+        lines, distinct = len([x for x in t.split("\n") if WORD.search(x)]), len(set(w))
+        capitals, digits = sum(unicodedata.category(c) == "Lu" for c in t), sum(c in "0123456789" for c in t)
+        bad = (10 * symbols > 2 * n, 100 * repeat > 35 * n, lines >= 3 and 100 * dup > 40 * lines, 100 * capitals > 40 * chars, 10 * chars < 35 * n or 10 * chars > 75 * n, n >= 20 and distinct**2 < 3 * n, 100 * digits > 25 * chars)
+        good = (40 * n <= 10 * chars <= 68 * n and distinct**2 >= 5 * n and 100 * symbols <= 2 * n, 100 * capitals <= 8 * chars and 100 * repeat <= 12 * n and 100 * symbols <= 2 * n)
+        return tuple([-int(n > 0 and b) for b in bad] + [int(n > 0 and g) for g in good])
+
+    cast = [votes(t) for _, t in rows]
+    good = np.array([0.05 if -1 in v else 0.95 for v in cast])
+    spoke = np.array([[x != 0 for x in v] for v in cast])
+    signs = np.array([1 if v > 0 else -1 for _, v, _ in quality.RULES])
+    for _ in range(60):
+        share = min(0.99, max(0.01, good.mean()))
+        of_good = ((good[:, None] * spoke).sum(0) / len(rows) + 1e-4) / (share + 2e-4)
+        of_bad = (((1 - good)[:, None] * spoke).sum(0) / len(rows) + 1e-4) / (1 - share + 2e-4)
+        weight = np.where(signs > 0, np.maximum(0, np.log(of_good / of_bad)), np.minimum(0, np.log(of_good / of_bad)))
+        new = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + spoke @ weight)))
+        done, good = np.abs(new - good).max() < 1e-9, new
+        if done:
+            break
+    found = by_id(quality.quality_rules(both))
+    for (k, t), p in zip(rows, good, strict=True):
+        n, _, _, _, repeat = counted(t)
+        assert abs(found[k]["p_good"] - p) < 1e-6 and found[k]["kept"] == (n >= 50 and 100 * repeat <= 50 * n and p >= 0.5), t[:60]
+
+
 def test_quality_estimates_separate_junk():
     n = len(quality.RULES)
     clean, quiet = tuple(1 if v > 0 else 0 for _, v, _ in quality.RULES), (0,) * n
@@ -271,6 +341,13 @@ def test_secret_scan(docs, none):
     assert secret_scan.secret_scan(none).count() == 0
 
 
+def test_many_secrets(spark):
+    t = "".join(f"token={k:06d}x AKIA{'A' * 16}{k % 10} " for k in range(3000))
+    f = secret_scan.secret_scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    want = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in secrets_of(t))
+    assert f["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and f["n_access"] == 3000
+
+
 def test_window_entropy(spark):
     r = random.Random(2)
     rows = ["".join(r.choice(secret_scan.ALPHABET[: r.choice([4, 16, 60])]) for _ in range(r.randint(20, 70))) for _ in range(40)]
@@ -308,18 +385,42 @@ def test_language_id(spark, none):
     r = random.Random(1)
     syllables = {"en": ["the", "and", "ing", "tion", "er", "of"], "de": ["der", "ung", "ich", "sch", "ein", "und"], "fr": ["eau", "les", "oi", "que", "ment", "aux"]}
     rows = [(k, " ".join("".join(r.choice(s) for _ in range(r.randint(1, 3))) for _ in range(60)), lang) for k, (lang, s) in enumerate(list(syllables.items()) * 60)]
-    rows += [(1000, None, "en"), (1001, "12 34 !!", "en"), (1002, "", None)]
+    rows += [(1000, None, "en"), (1001, "12 34 !!", "en"), (1002, "", None), (1003, "½ ²", "en"), (1004, "Ⅷ", None)]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, score string")
     found = by_id(language_id.language_id(df))
     truth = {k: lang for k, _, lang in rows}
     held = [k for k, f in found.items() if f["held_out"] and k < 1000]
     assert held and all((zlib.crc32(str(k).encode()) % 4 == 2) == f["held_out"] for k, f in found.items())
     assert sum(found[k]["lang_pred"] == truth[k] for k in held) / len(held) > 0.95
-    assert all(found[k]["lang_pred"] == "und" and found[k]["score"] == 0 for k in (1000, 1001, 1002))
+    assert all(found[k]["lang_pred"] == "und" and found[k]["score"] == 0 for k in (1000, 1001, 1002, 1003, 1004))
     assert all(0 <= f["score"] <= 1 for f in found.values())
     assert language_id.language_id(none).count() == 0
 
 
+def test_language_by_plain_argmin(spark):
+    """The operator's choice is the least size under plain zstandard compressors with the same dictionaries."""
+    r = random.Random(7)
+    dictionaries = {lang: " ".join(r.choice(w) for _ in range(800)).encode() for lang, w in {"a": ["der", "ung", "ich"], "b": ["the", "ing", "of"], "c": ["eau", "les", "que"]}.items()}
+    texts = [" ".join(r.choice(["der", "the", "les", "ung", "ing", "que"]) for _ in range(r.randint(1, 900))) for _ in range(60)]
+    params = zstd.ZstdCompressionParameters.from_level(language_id.LEVEL, min_match=language_id.MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def size(text, dictionary):
+        blocks = [text[k : k + language_id.BLOCK_CHARS] for k in range(0, len(text), language_id.BLOCK_CHARS)]
+        return sum(len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params).compress(b.encode())) for b in blocks)
+
+    found = by_id(language_id.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dictionaries))
+    for k, text in enumerate(texts):
+        sizes = {lang: size(text, d) for lang, d in dictionaries.items()}
+        assert sizes[found[k]["lang_pred"]] == min(sizes.values())
+
+
+def test_language_sample_is_spread_and_bounded(spark):
+    rows = [(k, "start " * 400 + f"middle{k} " * 400, "en") for k in range(50)] + [(99, "x y z " * 9000, "fr")]
+    made = language_id.learned(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert b"middle" in made["en"] and all(len(d) <= language_id.DICTIONARY_BYTES for d in made.values()) and len(made["fr"]) > 20_000
+    assert len(language_id.learned(spark.createDataFrame(rows, "key long, text string, lang string"), languages=1)) == 1
+
+
 def piece_texts() -> list[str | None]:
     r = random.Random(1)
     parts = ["a", " ", "  ", "\n", "the", "ing", "é", "日", "▁", "\t", "x" * 70, "###", "ab" * 40, "€", "\x00", "ﬁ", "e", "s", " t", "1", "2024"]
@@ -402,7 +503,7 @@ def test_exact_top_k_of_large_components(spark, monkeypatch, shard, size):
     """Scores beyond 2^53 and 2^63 rank exactly; components too large for any sum take no part."""
     monkeypatch.setattr(vector_search, "SHARD", shard)
     r = np.random.RandomState(1)
-    rows = [(k, [float(v) for v in r.randn(5) * size]) for k in range(300)] + [(2000 + k, [size * 2**10, float(k % 7) / 256]) for k in range(100)]
+    rows = [(k, [float(v) for v in r.randn(5) * size]) for k in range(300)] + [(2000 + k, [size * 16, float(k % 7) / 256]) for k in range(100)]
     df = spark.createDataFrame([*rows, (5000, [1e300] * 5), (5050, [-1e300] * 5)], "vec_id long, embedding array<double>")
     want = brute_top({k: [math.floor(256 * a) for a in v] for k, v in rows})
     assert sorted(tuple(t) for t in vector_search.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == want
@@ -426,6 +527,26 @@ def test_exact_top_k(spark, monkeypatch, shard):
     assert vector_search.top_k(df.limit(0)).count() == 0
 
 
+def test_added_spans_by_brute_force():
+    """The choice among proposals, against holding each one to all spans chosen before."""
+    model, least = pii.trained()
+    r = random.Random(21)
+    parts = ["call (212) 555-0123", "ssn 123-45-6789", "4111 1111 1111 1111", "DE89370400440532013000", "x at y dot com", "a@b.com", "order 212-555-0123", "1.2.3.4", "tel 030/1234567", "7"]
+    for _ in range(200):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        base, found = pii.base_spans(text), pii.proposals(text)
+        p = model.probability(np.array([pii.described(text, s) for s in found])) if found else []
+        want = []
+        for k in np.argsort(-np.array(p), kind="stable"):
+            s = found[k]
+            if p[k] >= least[s[1]] and not any(s[0] < o[2] and o[0] < s[2] for o in (*base, *want)):
+                want.append(s)
+        assert pii.added_spans(text, base, model, least) == want
+    began = time.perf_counter()
+    assert len(pii.added_spans("call (212) 555-0123. " * 20_000, [], model, least)) == 20_000
+    assert time.perf_counter() - began < 60
+
+
 def personal(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -504,6 +625,41 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_best_two_fit_one_document_at_a_time():
+    """The recipes on counts make the sequences that packing single documents one after the other makes."""
+    r = random.Random(14)
+
+    def plain(lengths, capacity):
+        left, out = sorted(lengths, reverse=True), []
+        while left:
+            used, gap = [], capacity
+            for x in list(left):
+                if x <= gap:
+                    left.remove(x)
+                    used.append(x)
+                    gap -= x
+            while gap:
+                small = min(used)
+                pairs = [(a + b, a) for i, a in enumerate(left) for b in left[:i] if small < a + b <= gap + small]
+                if not pairs:
+                    break
+                total, a = max(pairs)
+                used.remove(small)
+                for x in (a, total - a):
+                    left.remove(x)
+                    used.append(x)
+                left = sorted([*left, small], reverse=True)
+                gap += small - total
+            out.append(sum(used))
+        return sorted(out)
+
+    for _ in range(40):
+        lengths = [r.randint(1, 60) for _ in range(r.randint(1, 60))]
+        made = [sum(a * b for a, b in parts) for m, parts in packing.best_two_fit(dict(Counter(lengths)), 64) for _ in range(m)]
+        want = plain(lengths, 64)
+        assert sum(made) == sum(want) == sum(lengths) and abs(len(made) - len(want)) <= 1, (lengths, made, want)
+
+
 def test_best_two_fit_uses_all_counts():
     r = random.Random(9)
     for _ in range(30):

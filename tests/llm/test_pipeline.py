@@ -44,9 +44,16 @@ def test_near_duplicates_by_row(spark, tmp_path):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (-5, texts[2]), (3, texts[2] + " extra"), (None, texts[1]), (None, texts[3]), (None, texts[3] + " extra"), (None, texts[3]), (None, texts[4]), (None, None), (None, None), (None, ""), (4, "")]
     docs = spark.createDataFrame([(a, b, "en", "s", len(b or "")) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect()]
-    assert len(out) == 9
     assert sorted(texts.index(t.removesuffix(" extra")) for _, t in out if t) == [0, 1, 2, 3, 4]
-    assert {(1, texts[0]), (1, texts[1]), (-5, texts[2]), (None, texts[4]), (4, "")} <= set(out) and out.count((None, None)) == 2
+    assert {(1, texts[0]), (1, texts[1]), (-5, texts[2]), (None, texts[4]), (4, ""), (None, "")} <= set(out) and out.count((None, None)) == 2
+    assert len(out) == 9
+
+
+def test_different_texts_of_one_doc_id_stay(spark, tmp_path):
+    rows = [(1, "alpha beta " * 30 + "one"), (1, " ".join(f"w{k}" for k in range(60))), (1, " ".join(f"w{k}" for k in range(60)))]
+    docs = spark.createDataFrame([(a, b, "en", "s", len(b), "x", 1) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, id int")
+    out = cp.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted({t for _, t in rows})
 
 
 def test_empty(spark, tmp_path):

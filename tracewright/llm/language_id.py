@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from .common import by_batch
 
-#: Bounds of the fitted sample: texts a language, and bytes of a dictionary.
-SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 32_000
+#: Bounds of the fitted sample: languages (the most frequent), texts of each, and bytes of a dictionary.
+LANGUAGES, SAMPLE_TEXTS, DICTIONARY_BYTES = 256, 400, 32_000
 #: Characters compressed at once, compression level and shortest match, and the share of the size by which the best must win.
 BLOCK_CHARS, LEVEL, MATCH, MARGIN = 2_000, 9, 3, 0.01
 UNKNOWN = "und"
@@ -27,32 +27,41 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def reduced(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    """The letters of a text in lower case, with one space for all else between them."""
+    if not text:
+        return ""
+    clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not clean.replace(" ", "").isalpha():  # numerals that are no decimal digits
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
+    return clean
 
 
-def learned(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each non-null lang of (key, text, lang), from about `texts` rows of it.
+def learned(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """A dictionary for each of the most frequent non-null langs of (key, text, lang), from about `texts` rows of it.
 
     Counts come from all rows; rows are then chosen by a hash of their key,
-    so that the sample's size does not grow with the table. Each chosen text
-    gives an equal share of the dictionary."""
+    and of each a passage at a hashed place of the whole text, so that the
+    sample's size does not grow with the table: at most about 4 * size
+    characters a language. Passages share the dictionary equally; where short
+    ones leave room, the others go on."""
     usable = labelled.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return {}
-    fractions = F.lit(0.0)
+    fractions, wanted = F.lit(0.0), F.lit(0)
     for lang, n in counts.items():
         fractions = F.when(F.col("lang") == lang, F.lit(min(1.0, texts / n))).otherwise(fractions)
+        wanted = F.when(F.col("lang") == lang, F.lit(4 * size // min(texts, n))).otherwise(wanted)
     place = (F.pmod(F.xxhash64("key"), F.lit(2**31)) + 0.5) / 2**31
-    share = max(1_000, 2 * size // texts)
-    chosen = usable.filter(place < fractions).select("lang", "key", F.substring("text", 1, 4 * share).alias("text"))
+    passage = F.expr("substring(text, cast(1 + pmod(xxhash64(key, 3), greatest(1, length(text) - wanted + 1)) as int), wanted)")
+    chosen = usable.filter(place < fractions).withColumn("wanted", wanted).select("lang", "key", passage.alias("text"))
     rows = sorted((tuple(r) for r in chosen.collect()), key=lambda r: (r[0], str(r[1]), r[2]))
     out: dict[str, bytes] = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):  # ties go to the most frequent
-        own = [x for x in (reduced(r[2])[:share] for r in rows if r[0] == lang) if x]
+        own = [x for x in (reduced(r[2]) for r in rows if r[0] == lang) if x]
         if own:
             each = max(200, size // len(own))
-            out[lang] = " ".join(x[:each] for x in own).encode()[-size:]
+            out[lang] = (" ".join(x[:each] for x in own) + " " + " ".join(x[each:] for x in own if x[each:])).strip().encode()[:size]
     return out
 
 
@@ -84,8 +93,10 @@ class Compared:
 def identified(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The rows of documents with lang_pred, score and lang_rejected after their own columns.
 
-    A null text, or one without letters, is `und` with score 0 and rejected.
-    Repeated rows give repeated results; columns of those names are replaced."""
+    A null text, or one without letters (numerals are none), is `und` with
+    score 0 and rejected. Texts of any length are compressed whole, in blocks.
+    Of equal sizes the more frequent language wins. Repeated rows give
+    repeated results; columns of those names are replaced."""
     keep = documents.drop("lang_pred", "score", "lang_rejected")
     at = keep.columns.index("text")
 

@@ -7,12 +7,13 @@ errors of a chunk are enumerated by leaving out one symbol at a time, so such
 pairs meet in a bucket. With 18 chunks of 7 symbols a pair of similarity 0.8
 misses all buckets with a probability of 2e-7.
 
-What meets in a bucket is compared by its full sets, without listing pairs:
-sets are put into blocks of at most `BLOCK` around the smallest id they met,
-and pairs of blocks that share a bucket are compared inside one task, which
-returns only links that join two classes. Blocks of a very large neighbourhood
-are first held against its centre; sets that link to it need no comparison
-with each other."""
+What meets in a bucket is compared by its signatures and then, if those are
+close enough, by its full sets, without listing pairs: sets are put into
+blocks of at most `BLOCK` around the smallest id they met, and pairs of blocks
+that share a bucket are compared inside one task, which returns only links
+that join two classes. Texts go only to tasks where the signatures left
+something to compare. Blocks of a very large neighbourhood are first held
+against its centre; sets that link to it need no comparison with each other."""
 
 from __future__ import annotations
 
@@ -24,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, documents_of, written
+from .common import by_batch, discard, documents_of, written
 
 CHUNKS, WIDTH, BLOCK = 18, 7, 256
+#: Most symbols in which two signatures may differ for their sets to be compared: at similarity 0.8 more differ with a probability of 1e-8.
+DISTANCE = 52
 SYMBOLS = CHUNKS * WIDTH
 _RANDOM = np.random.RandomState(20)
 _A, _B = (_RANDOM.randint(0, 2**63, SYMBOLS).astype(np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
@@ -78,10 +81,10 @@ def _signatures(docs: DataFrame) -> DataFrame:
             n, low, high, signs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_hashes(text, words)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
+                digest = _digest(s)
                 n.append(len(s))
-                low.append(int.from_bytes(digest[:8], "little", signed=True))
-                high.append(int.from_bytes(digest[8:], "little", signed=True))
+                low.append(digest[0])
+                high.append(digest[1])
                 signs.append(signature(s).tobytes() if len(s) else None)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_low", "set_high", "sign"])
 
@@ -147,8 +150,50 @@ def linked(ids: list[int], sets: list[np.ndarray], hubs: list[int | None], perce
     return links
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    """task, id, hub of rows (task, id, hub, sign) that some other row of the task, of no common hub, may be linked with by the distance of their signatures."""
+
+    def close(ids: np.ndarray, hubs: list[int | None], signs: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(ids), bool)
+        hub = np.array([-1 - k if h is None else 0 for k, h in enumerate(hubs)])
+        names: dict[int, int] = {}
+        for k, h in enumerate(hubs):
+            if h is not None:
+                hub[k] = names.setdefault(h, len(names))
+        for k in range(0, len(ids), 64):
+            differ = (signs[k : k + 64, None, :] != signs[None, :, :]).sum(2)
+            found[k : k + 64] |= ((differ <= DISTANCE) & (hub[k : k + 64, None] != hub[None, :])).any(1)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ids, hubs, signs = None, [], [], []
+
+        def table() -> pa.RecordBatch:
+            at = np.flatnonzero(close(np.array(ids), hubs, np.frombuffer(b"".join(signs), np.uint16).reshape(-1, SYMBOLS)))
+            return pa.RecordBatch.from_arrays([pa.array([task] * len(at), pa.int64()), pa.array([ids[k] for k in at], pa.int64()), pa.array([hubs[k] for k in at], pa.int64())], ["task", "id", "hub"])
+
+        for batch in batches:
+            for t, i, hub, sign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != task:
+                    if len(ids) > 1:
+                        yield table()
+                    task, ids, hubs, signs = t, [], [], []
+                ids.append(i)
+                hubs.append(hub)
+                signs.append(sign)
+        if len(ids) > 1:
+            yield table()
+
+    return rows.select("task", "id", "hub", "sign").repartition("task").sortWithinPartitions("task", "id").mapInArrow(run, "task long, id long, hub long")
+
+
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: verified links from rows (task, id, hub, text), a task's rows together."""
+    """a, b: verified links from rows (task, id, hub, text, set_low), a task's rows together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, ids, sets, hubs, out = _Words(), None, [], [], [], []
@@ -159,15 +204,17 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
             return made
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:3]]
-            for k, (t, i, hub) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 4)]
+            for k, (t, i, hub, set_low) in enumerate(zip(*columns, strict=True)):
                 if t != task:
                     if len(ids) > 1:
                         out += linked(ids, sets, hubs, percent)
                     task, ids, sets, hubs = t, [], [], []
-                ids.append(i)
-                hubs.append(hub)
-                sets.append(shingle_hashes(batch.column(3)[k].as_py(), words))
+                own = shingle_hashes(batch.column(3)[k].as_py(), words)
+                if _digest(own)[0] == set_low:  # else another text of the same doc_id
+                    ids.append(i)
+                    hubs.append(hub)
+                    sets.append(own)
             if out:
                 yield table()
         if len(ids) > 1:
@@ -175,7 +222,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
         if out:
             yield table()
 
-    ordered = rows.select("task", "id", "hub", "text").repartition("task").sortWithinPartitions("task", "id")
+    ordered = rows.select("task", "id", "hub", "text", "set_low").repartition("task").sortWithinPartitions("task", "id")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -186,15 +233,13 @@ def _links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     centres = met.groupBy("id").agg(F.min("least").alias("centre"))
     around = centres.join(centres.groupBy("centre").agg(F.count("*").alias("n")), "centre")
     placed = written(around.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
-    texts = written(docs.withColumnRenamed("doc_id", "id").join(placed.select("id"), "id", "left_semi").dropDuplicates(["id"]))
 
     hot = placed.filter(F.col("n") > BLOCK)
     star = None
     if hot.limit(1).count():
         tasks = hot.select(F.xxhash64("centre", "salt").alias("task"), "centre", "id")
         with_centre = tasks.unionByName(tasks.select("task", "centre", F.col("centre").alias("id"))).distinct()
-        own_hub = F.when(F.col("id") == F.col("centre"), F.lit(None).cast("long"))
-        star = written(_to_centre(with_centre.join(texts, "id").withColumn("hub", own_hub), percent))
+        star = written(_to_centre(with_centre.join(_texts(docs, sets, with_centre), "id"), percent))
         hub = star.select(F.col("a").alias("id"), F.lit(True).alias("near")).distinct()
         placed = placed.join(hub, "id", "left").withColumn("near", F.coalesce("near", F.lit(False)) | ((F.col("id") == F.col("centre")) & (F.col("n") > BLOCK)))
     else:
@@ -206,19 +251,32 @@ def _links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = boxes.join(other, "key").filter("block <= block_b and (hub is null or hub_b is null or hub <> hub_b)").select("block", "block_b").distinct()
     tasks = pairs.select(F.xxhash64("block", "block_b").alias("task"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
     members = tasks.join(placed, "block").select("task", "id", F.when(F.col("near"), F.col("centre")).alias("hub"))
-    links = _compared(members.join(texts, "id"), percent)
-    return written(links if star is None else links.unionByName(star))
+    close = written(_close(members.join(sets.select("id", "sign"), "id")))
+    links = _compared(close.join(_texts(docs, sets, close), "id"), percent)
+    out = written(links if star is None else links.unionByName(star))
+    for table in (met, placed, close):
+        discard(table)
+    return out
+
+
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text, set_low of the wanted ids: one row for each different text of a doc_id."""
+    own = sets.select("id", "set_low").join(wanted.select("id").distinct(), "id", "left_semi")
+    found = docs.withColumnRenamed("doc_id", "id").join(own, "id").withColumn("of", F.xxhash64("text"))
+    return found.dropDuplicates(["id", "of"]).select("id", "text", "set_low")
 
 
 def _to_centre(rows: DataFrame, percent: int) -> DataFrame:
-    """Links to the centre alone: rows (task, centre, id, hub, text)."""
+    """Links to the centre alone: rows (task, centre, id, text, set_low)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, middle = _Words(), None, None
         for batch in batches:
             a, b = [], []
-            for k, (t, centre, i) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+            for k, (t, centre, i, set_low) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 5)), strict=True)):
                 own = shingle_hashes(batch.column(4)[k].as_py(), words)
+                if _digest(own)[0] != set_low:  # another text of the same doc_id
+                    continue
                 if t != task:
                     task, middle = t, own  # the centre sorts first
                 else:
@@ -230,36 +288,49 @@ def _to_centre(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     first = (F.col("id") != F.col("centre")).alias("member")
-    ordered = rows.select("task", "centre", "id", first, "text").repartition("task").sortWithinPartitions("task", "member", "id")
+    ordered = rows.select("task", "centre", "id", first, "text", "set_low").repartition("task").sortWithinPartitions("task", "member", "id")
     return ordered.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component_id (the smallest id reachable) of every id in links (a, b): least labels of neighbours, then pointer jumping."""
     edges = written(links.union(links.select("b", "a")).toDF("id", "to").distinct())
-    labels = written(edges.groupBy("id").agg(F.min("to").alias("least")).select("id", F.least("id", "least").alias("label")))
+    table = written(edges.groupBy("id").agg(F.min("to").alias("least")).select("id", F.least("id", "least").alias("label")))
     while True:
+        labels = table.select("id", "label")
         near = edges.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         above = labels.select(F.col("id").alias("label"), F.col("label").alias("above"))
         new = written(step.join(above, "label").select("id", "old", F.least("label", "above").alias("label")))
-        labels = new.select("id", "label")
+        discard(table)
+        table = new
         if not new.filter("old <> label").limit(1).count():
-            return labels.withColumnRenamed("label", "component_id")
+            discard(edges)
+            return new.select("id", F.col("label").alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Null or empty texts and texts without words have no shingles, are linked
-    with nothing and are kept. Equal rows get equal results; rows that share a
-    doc_id count as one document, compared by one of its texts. Other columns are
-    ignored, and an empty table gives no rows."""
+    with nothing and are kept. Texts of any length count whole. Shingles are
+    told apart by 64-bit hashes, sets by 128 bits: a link could only be wrong
+    if two of a pair's shingles collide, for texts of n shingles with a chance
+    below n^2 / 2^63. Equal rows get equal results; rows that share a doc_id
+    count as one document, which has the links of that one of its texts whose
+    set has the least digest (each row keeps its own n_shingles). Rows without
+    a doc_id get the class of their set. Other columns are ignored, and an
+    empty table gives no rows."""
     docs = documents_of(documents)
     signed = written(_signatures(docs))
-    sets = signed.filter("n_shingles > 0").groupBy("set_low", "set_high").agg(F.min("doc_id").alias("id"), F.min_by("sign", "doc_id").alias("sign"))
-    sets = written(sets.filter("id is not null"))
+    known = signed.filter("doc_id is not null and n_shingles > 0")
+    own = known.groupBy("doc_id").agg(F.min(F.struct("set_low", "set_high")).alias("own"))
+    signs = known.groupBy("set_low", "set_high").agg(F.first("sign").alias("sign"))  # equal sets have equal signatures
+    least = own.groupBy(F.col("own.set_low").alias("set_low"), F.col("own.set_high").alias("set_high")).agg(F.min("doc_id").alias("id"))
+    sets = written(least.join(signs, ["set_low", "set_high"]))
     found = components(_links(docs.filter("doc_id is not null"), sets, percent))
-    owners = sets.drop("sign").join(found, "id", "left").select("set_low", "set_high", F.coalesce("component_id", "id").alias("component_id"))
-    out = signed.drop("sign").join(owners, ["set_low", "set_high"], "left")
+    owners = sets.select("set_low", "set_high", "id").join(found, "id", "left").select("set_low", "set_high", F.coalesce("component_id", "id").alias("component_id"))
+    of = signed.select("doc_id", "n_shingles", "set_low", "set_high").join(own, "doc_id", "left")
+    of = of.select("doc_id", "n_shingles", F.coalesce("own.set_low", "set_low").alias("set_low"), F.coalesce("own.set_high", "set_high").alias("set_high"))
+    out = of.join(owners, ["set_low", "set_high"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

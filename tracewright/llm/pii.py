@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -208,13 +209,30 @@ def added_spans(text: str, base: list[Span], model: Boosted, least: dict[int, fl
         return []
     p = model.probability(np.array([described(text, s) for s in found]))
     out: list[Span] = []
+    starts, ends = _union(base)
     for k in np.argsort(-p, kind="stable"):
         s = found[k]
-        if p[k] >= least[s[1]] and not any(s[0] < o[2] and o[0] < s[2] for o in (*base, *out)):
+        at = bisect_left(starts, s[2])  # those before it begin before the span ends
+        if p[k] >= least[s[1]] and (not at or ends[at - 1] <= s[0]):
             out.append(s)
+            starts.insert(at, s[0])
+            ends.insert(at, s[2])
     return out
 
 
+def _union(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order and without overlaps."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def redacted(text: str, spans: list[Span]) -> str:
     """The text with each span, or run of overlapping spans, replaced by the name of its first kind."""
     out, at = [], 0
@@ -232,8 +250,10 @@ def _joined(spans: list[Span]) -> str:
 def personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted of every row.
 
-    A null text counts as empty (its redacted text stays null). Repeated rows
-    give repeated results; other columns are ignored."""
+    A null text counts as empty (its redacted text stays null). Texts of any
+    length are read whole. Of proposals with equal probability the first
+    generator's, then the leftmost, comes first. Repeated rows give repeated
+    results; other columns are ignored; an empty table gives no rows."""
     model = trained()
 
     def make():

@@ -107,9 +107,10 @@ def _odds(rates: RATES, pattern: tuple[int, ...]) -> float:
 def judged(documents: DataFrame, least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """row (a struct of the columns to carry: all, if none are named), doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, kept of every row.
 
-    Null and empty texts have no words and fail the base rule. Repeated rows
-    count as often as they occur; other columns are ignored; an empty table
-    gives no rows."""
+    Null and empty texts have no words and fail the base rule. Texts of any
+    length are counted whole. A posterior of exactly `least` is kept. Repeated
+    rows count as often as they occur; other columns are ignored; an empty
+    table gives no rows."""
     voted = written(votes(features(documents, carry or documents.columns)))  # one pass over the texts serves the estimate and the verdicts
     names = [f"vote_{n}" for n, _, _ in RULES]
     rows = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 2 to the number of rules

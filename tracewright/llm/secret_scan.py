@@ -36,6 +36,8 @@ ALLOWED = (
     r"^[A-Za-z]+([-_=/][A-Za-z]+)*[-_=/]?[0-9]{1,4}$",
 )
 KINDS = ("assign", "access", "hex", "entropy")
+#: Matches of a text that are placed together.
+BLOCK = 64
 SPAN = "struct<start:int,kind:int,end:int,hit:string>"
 
 
@@ -44,14 +46,17 @@ def _quoted(pattern: str) -> str:
 
 
 def _spans(pattern: str, kind: int) -> str:
-    """SQL for the spans of a pattern: the pieces between matches give the places."""
+    """SQL for the spans of a pattern: the pieces between matches give the places. Matches go in blocks, so that no long array grows one by one."""
     p = _quoted(pattern)
-    return f"""case when text rlike {p} then aggregate(
-        zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (h, g) -> struct(h, length(g) as g)),
-        struct(0 as at, cast(array() as array<{SPAN}>) as found),
+    pieces = f"zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (h, g) -> struct(h, length(g) as g))"
+    blocks = f"transform(array({pieces}), p -> transform(sequence(0, (size(p) - 1) div {BLOCK}), b -> slice(p, b * {BLOCK} + 1, {BLOCK})))[0]"
+    starts = "aggregate(blocks, array(0), (s, b) -> array_append(s, element_at(s, -1) + aggregate(b, 0, (n, x) -> n + x.g + coalesce(length(x.h), 0))))"
+    each = f"""aggregate(b, struct(start as at, cast(array() as array<{SPAN}>) as found),
         (s, x) -> if(x.h is null, s, struct(s.at + x.g + length(x.h) as at,
             array_append(s.found, struct(s.at + x.g as start, {kind} as kind, s.at + x.g + length(x.h) as end, x.h as hit)) as found)),
-        s -> s.found) else cast(array() as array<{SPAN}>) end"""
+        s -> s.found)"""
+    return f"""case when text rlike {p} then flatten(transform(array({blocks}), blocks -> flatten(zip_with(blocks, slice({starts}, 1, size(blocks)), (b, start) -> {each}))))
+        else cast(array() as array<{SPAN}>) end"""
 
 
 def _entropy(hit: str) -> str:
@@ -94,7 +99,10 @@ def secret_scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
     Null and empty texts have no spans (the digest is that of the empty
-    string). Repeated rows give repeated results; other columns are ignored."""
+    string). Texts of any length are read whole; candidates are held against
+    each base span of their text. Spans that start together go by kind, then
+    end. Repeated rows give repeated results; other columns are ignored; an
+    empty table gives no rows."""
     kinds = "array('" + "','".join(KINDS) + "')"
 
     def joined(spans: str) -> str:
