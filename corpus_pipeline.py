@@ -28,17 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of near duplicates.
 
-    Rows are told apart by doc_id and text together; a null doc_id comes after
-    all others. Rows without words are linked with nothing and kept, as equal
-    ones with a doc_id once."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    found = near_dedup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
-    ids = keyed.select("_key", "doc_id").dropDuplicates(["_key"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("first")
-    kept = found.join(ids, "_key").groupBy("component_id").agg(first).select(F.col("first._key").alias("_key"))
-    lone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = keyed.withColumn("_lone", F.when(lone, F.monotonically_increasing_id()).otherwise(-1))
-    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_lone"]).select(docs.columns)
+    Every row is judged by itself, whatever rows share its doc_id: it goes
+    only if its words are those of a near duplicate that stays. A null doc_id
+    comes after all others; rows without words are linked with nothing and
+    stay. The row numbers are written down, so that all steps see the same."""
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("_row")
+    kept = found.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("_row")
+    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
