@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import ahb, apb, m2, rtl, timeline
 from tracewright.errors import ExprError, WaveError
@@ -171,8 +172,8 @@ def test_event_terms():
     assert [(t.kind, t.name, t.iff) for t in terms] == [("posedge", "a", "(b or c) && d"), ("edge", "e", None), ("any", None, None)]
 
 
-def test_small_buckets_give_the_same(spark, monkeypatch):
-    """Carrying over buckets of time gives what one bucket gives."""
+def test_small_ranges_give_the_same(spark, monkeypatch):
+    """Carrying over many ranges of time gives what one range gives."""
     from tracewright.operators import sampling
 
     def everything():
@@ -185,6 +186,23 @@ def test_small_buckets_give_the_same(spark, monkeypatch):
             [tuple(sorted(map(str, r.items()))) for r in extract_ahb(a, {"hclk": "clk"}, ["^ahb_lite_h_"], scope="top", include_stall=True).rows()[0]],
         ]
 
+    monkeypatch.setattr(sampling, "time_cuts", lambda changes: [])
     want = everything()
-    monkeypatch.setattr(sampling, "BUCKET", 7)
+    monkeypatch.undo()
     assert everything() == want
+    monkeypatch.setattr(sampling, "time_cuts", lambda changes: list(range(3, 60_000, 7)))
+    assert everything() == want
+
+
+def test_time_cuts_balance_rows(spark):
+    """Ranges hold about as many changes each, wherever in time those are."""
+    from tracewright.operators import sampling
+
+    times = [int(t) for t in range(0, 1000)] + [10**12 + 3 * t for t in range(9000)]
+    df = spark.createDataFrame([(t,) for t in times], "t long")
+    cuts = sampling.time_cuts(df)
+    counts = [r["count"] for r in df.groupBy(sampling.range_of(cuts).alias("k")).count().collect()]
+    assert len(counts) == 16 and max(counts) < 1.3 * min(counts)
+    for t in (0, cuts[0] - 1, cuts[0], cuts[5], cuts[-1] + 1):
+        assert spark.range(1).select(F.lit(t).alias("t")).select(sampling.range_of(cuts)).first()[0] == sum(c <= t for c in cuts)
+    assert sampling.time_cuts(df.limit(0)) == []

@@ -18,6 +18,7 @@ from .results import Result, to_json, to_jsonl, to_text, tree
 from .schemas import schema
 from .sources import documents
 from .sources.vcd import read_vcd, staged
+from .trace import Trace
 
 
 def _session() -> SparkSession:
@@ -36,6 +37,14 @@ def _open(path: str) -> Dump:
     return read_vcd(spark, path)
 
 
+def _depth(text: str) -> int | None:
+    if text == "unlimited":
+        return None
+    if not text.isdigit():
+        raise argparse.ArgumentTypeError("a number or 'unlimited'")
+    return int(text)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracewright", description="Queries over waveform dumps")
     commands = p.add_subparsers(dest="command", required=True)
@@ -53,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
                 "scope": lambda: c.add_argument("--scope"),
                 "abs": lambda: c.add_argument("--abs", action="store_true", dest="absolute"),
                 "filter": lambda: c.add_argument("--filter", default=".*"),
-                "depth": lambda: c.add_argument("--max-depth", type=int, default=5),
+                "depth": lambda: c.add_argument("--max-depth", type=_depth, default=5),
                 "mode": lambda: c.add_argument("--sample-mode", default=waves.PRE_EDGE, choices=[waves.PRE_EDGE, waves.NATIVE]),
                 "bus": lambda: (c.add_argument("--profile"), c.add_argument("--source"), c.add_argument("--map", action="append", default=[], dest="maps"), c.add_argument("--include", action="append", default=[], dest="includes")),
             }[m]()
@@ -101,12 +110,23 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("skill")
     sc = commands.add_parser("schema")
     sc.add_argument("kind", nargs="?", default="output", choices=["output", "stream", "input"])
+    sc.add_argument("--stream", action="store_const", const="stream", dest="kind")
+    sc.add_argument("--input", action="store_const", const="input", dest="kind")
     return p
 
 
 def result(a: argparse.Namespace) -> Result:
     """The query of parsed arguments."""
+    trace = Trace(a.command if a.command != "extract" else f"extract {a.kind}")
+    trace.event("backend.open.start")
     dump = _open(a.waves)
+    trace.event("backend.open.done", lambda: {"waves": a.waves, "time_start": dump.time.start, "time_end": dump.time.end})
+    made = _query(a, dump)
+    trace.event("query.plan.done", lambda: {"order": made.order, "limit": made.limit})
+    return made
+
+
+def _query(a: argparse.Namespace, dump: Dump) -> Result:
     names = lambda text: [n.strip() for n in text.split(",") if n.strip()]
     if a.command == "info":
         return catalog.info(dump)

@@ -23,7 +23,7 @@ TWO_STATE = frozenset("bit byte short_int int long_int boolean bit_vector".split
 LIKE = {"byte": "byte", "short_int": "shortint", "int": "int", "long_int": "longint", "integer": "integer", "time": "time"}
 SCOPE_KINDS = "module task function begin fork generate struct union class interface package program unknown".split()
 SIGNAL_KINDS = (
-    "event integer parameter real real_parameter reg supply0 supply1 time tri tri_and tri_or tri_reg tri0 tri1 wand wire wor string port sparse_array real_time bit logic int short_int long_int byte enum short_real boolean bit_vector unknown"
+    "event integer parameter real real_parameter reg supply0 supply1 time tri triand trior trireg tri0 tri1 wand wire wor string port sparse_array real_time bit logic int short_int long_int byte enum short_real boolean bit_vector unknown"
 ).split()
 
 
@@ -69,6 +69,7 @@ class Dump:
     meta: DataFrame
     _known: dict[str, Signal | None] = field(default_factory=dict)
     bounds: Timebase | None = None  # what meta says, where that is known already
+    marks: DataFrame | None = None  # a smaller frame whose t is spread over time like that of changes, where there is one
 
     @property
     def spark(self) -> SparkSession:
@@ -83,6 +84,13 @@ class Dump:
             return Timebase(1, "s", 0, 0)
         return Timebase(row[0], row[1], row[2] or 0, row[3] or 0)
 
+    @cached_property
+    def cuts(self) -> list[int]:
+        """Where ranges of time with about equal numbers of changes begin."""
+        from .operators.sampling import time_cuts
+
+        return time_cuts(self.changes if self.marks is None else self.marks)
+
     def find(self, path: str) -> Signal | None:
         """The signal of a path; looked up once."""
         if path not in self._known:

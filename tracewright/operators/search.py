@@ -26,13 +26,14 @@ def search(topics: DataFrame, query: str) -> DataFrame:
     tokens = query_tokens(query)
     if not tokens:
         raise WaveError("args", "a search needs a token")
-    low = topics.select("id", lowered(F.col("id")).alias("i"), *(lowered(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("title", "description", "headings", "body")))
+    held = topics.select("id", lowered(F.col("id")).alias("i"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "description", "headings", "body")))
 
     def place(token: str) -> Column:
-        at = lambda c: F.instr(F.col(c), token) > 0
+        literal = token.replace("\\E", "\\E\\\\E\\Q")
+        at = lambda c: F.col(c).rlike(f"(?i)\\Q{literal}\\E")  # noqa: E731  # folds the case of ASCII letters alone
         return F.when(F.col("i").startswith(token), 0).when(at("title") | at("description"), 1).when(at("headings"), 2).when(at("body"), 3)
 
-    scored = low.withColumns({f"p{k}": place(t) for k, t in enumerate(tokens)})
+    scored = held.withColumns({f"p{k}": place(t) for k, t in enumerate(tokens)})
     places = [F.col(f"p{k}") for k in range(len(tokens))]
     matched = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in places), F.lit(0))
     best = F.array_min(F.array_compact(F.array(*places)))

@@ -16,7 +16,7 @@ from ..plans import events as ev
 from ..plans.binding import Bound, Lookup, bound
 from ..plans.columns import holds
 from ..results import DEFAULT_MAX, Result, checked_limit
-from .sampling import carried, one_bucket, state_at, states
+from .sampling import carried, state_at, states, states_at
 from .triggers import matched
 
 NATIVE, PRE_EDGE = "native", "pre-edge"
@@ -90,9 +90,8 @@ def value(dump: Dump, at: list[str], signals: list[str], scope: str | None = Non
     column = {s.path: k for k, s in enumerate(distinct)}
     one = [F.struct(F.lit(shown(dump, s.path, scope, absolute)).alias("path"), literal_text(F.col(f"c{column[s.path]}"), s.type.width).alias("value")) for s in asked]
     missing = F.coalesce(*(F.when(F.col(f"c{column[s.path]}").isNull(), F.lit(f"signal '{s.path}' has no value at requested time")) for s in asked))
-    by_time = {t: state_at(dump, distinct, t) for t in sorted(set(times))}
-    frames = [by_time[t].select("dump_id", F.lit(pos).alias("pos"), F.lit(t).cast("long").alias("t"), F.array(*one).alias("signals"), missing.alias("error")) for pos, t in enumerate(times)]
-    return Result("value", reduce(DataFrame.unionByName, frames), ["dump_id", "pos"], None, shape=lambda r: {"time": dump.time.text(r["t"]), "signals": [x.asDict() for x in r["signals"]]}, limited=False)
+    frame = states_at(dump, distinct, times).select("dump_id", "pos", "t", F.array(*one).alias("signals"), missing.alias("error"))
+    return Result("value", frame, ["dump_id", "pos"], None, shape=lambda r: {"time": dump.time.text(r["t"]), "signals": [x.asDict() for x in r["signals"]]}, limited=False)
 
 
 def change_rows(dump: Dump, signals: list[Signal], terms: list[ev.Term], start: int, end: int, mode: str) -> tuple[DataFrame, dict[str, int]]:
@@ -113,7 +112,7 @@ def change_rows(dump: Dump, signals: list[Signal], terms: list[ev.Term], start:
         rows = rows.filter(moved & fired)
         return rows.select("dump_id", "t", sample_t.alias("sample_t"), *(st.now(s.path).alias(f"s{column[s.path]}") for s in distinct)), column
     rows = rows.filter(fired & exists).select("dump_id", "bucket", "t", sample_t.alias("sample_t"), *(st.before(s.path).alias(f"s{k}") for k, s in enumerate(distinct)))
-    rows = carried(rows, {f"b{k}": F.col(f"s{k}") for k in range(len(distinct))}, ["t"], before=True, single=one_bucket(dump))
+    rows = carried(rows, {f"b{k}": F.col(f"s{k}") for k in range(len(distinct))}, ["t"], before=True)
     seed = state_at(dump, distinct, start).select("dump_id", *(F.col(f"c{k}").alias(f"d{k}") for k in range(len(distinct))))
     rows = rows.join(seed, "dump_id")
     moved = reduce(or_, (differs(F.col(f"s{k}"), F.coalesce(f"b{k}", f"d{k}")) for k in range(len(distinct))))
@@ -152,7 +151,7 @@ def property_rows(dump: Dump, terms: list[ev.Term], test: Bound, start: int, end
     refs = [dump.signal(p) for p in tracked]
     seeds = state_at(dump, refs, start) if refs else dump.meta.select("dump_id")
     seed = seeds.select("dump_id", holds(test, lambda p: F.col(f"c{tracked.index(p)}")).alias("seed"))
-    rows = carried(rows.filter(F.col("t") > start), {"last": F.col("decision")}, ["t"], before=True, single=one_bucket(dump)).join(seed, "dump_id")
+    rows = carried(rows.filter(F.col("t") > start), {"last": F.col("decision")}, ["t"], before=True).join(seed, "dump_id")
     rows = rows.withColumn("last", F.coalesce("last", "seed")).filter("decision <> last")
     rows = rows.select("dump_id", "t", "sample_t", F.when(F.col("decision"), "assert").otherwise("deassert").alias("kind"))
     return rows if capture == "switch" else rows.filter(F.col("kind") == capture)

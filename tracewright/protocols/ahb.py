@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..dump import Dump
 from ..errors import WaveError
 from ..functions.bits import literal_text
-from ..operators.sampling import carried, one_bucket, states
+from ..operators.sampling import carried, states
 from ..operators.triggers import edge
 from ..results import DEFAULT_MAX, Result, checked_limit
 from . import profiles as P
@@ -60,7 +60,7 @@ def ahb_edges(dump: Dump, found: dict[str, str], end: int, scope: str | None = N
 def ahb_rows(dump: Dump, found: dict[str, str], end: int, scope: str | None = None, stall: bool = False, idle: bool = False, busy: bool = False) -> DataFrame:
     """dump_id, t, sample_t, ord, event, transfer, direction, phase (the last state set before t) and s_<standard> bits, from the dump's start."""
     reset, ready, trans, write, moves = _inputs(found)
-    rows = carried(ahb_edges(dump, found, end, scope).withColumn("held", reset), {"phase": F.col("setter"), "last_reset": F.col("held")}, ["t"], before=True, single=one_bucket(dump))
+    rows = carried(ahb_edges(dump, found, end, scope).withColumn("held", reset), {"phase": F.col("setter"), "last_reset": F.col("held")}, ["t"], before=True)
     state = F.coalesce(F.col("phase.name"), F.lit("desynchronized"))
     good = (reset == "1") & ready.isin("0", "1")
     lost = (state != "desynchronized") & (((reset != "0") & ~good) | (good & (ready == "1") & moves.isNull() & ~trans.isin("00", "01")))

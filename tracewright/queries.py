@@ -81,11 +81,11 @@ def _fired(dump: Dump, on: str, start: int | None = None, end: int | None = None
 # --- sources, catalog ---------------------------------------------------------------------------
 
 
-@query(f"WITH {_ctes()} SELECT DISTINCT t FROM raw WHERE (n_data IS NOT NULL OR n_addr IS NOT NULL) AND t BETWEEN 1000 AND 5000")
+@query(f"WITH {_ctes()} SELECT DISTINCT t FROM raw WHERE (n_data IS NOT NULL OR n_addr IS NOT NULL) AND t BETWEEN (SELECT max(t) // 4 FROM raw) AND (SELECT 3 * max(t) // 4 FROM raw)")
 def s7_candidate_times(spark, sf_dir):
     dump = _bus(spark, sf_dir)
     ids = [dump.signal(p).sig_id for p in ("top.data", "top.addr")]
-    return dump.changes.filter(F.col("sig_id").isin(ids) & F.col("t").between(1000, 5000)).select("t").distinct()
+    return dump.changes.filter(F.col("sig_id").isin(ids) & F.col("t").between(dump.time.end // 4, 3 * dump.time.end // 4)).select("t").distinct()
 
 
 @query(f"WITH {_ctes()} SELECT DISTINCT t FROM raw WHERE n_addr IS NOT NULL OR tick")
@@ -94,10 +94,11 @@ def s9_candidate_times_with_events(spark, sf_dir):
     return dump.changes.filter(F.col("sig_id").isin([dump.signal(p).sig_id for p in ("top.addr", "top.tick")])).select("t").distinct()
 
 
-@query(f"WITH {_ctes()} SELECT d AS dump_id, max(t) AS t, arg_max(n_data, t) AS bits FROM raw WHERE n_data IS NOT NULL AND t < 3000 GROUP BY d")
+@query(f"WITH {_ctes()} SELECT d AS dump_id, max(t) AS t, arg_max(n_data, t) AS bits FROM raw WHERE n_data IS NOT NULL AND t < (SELECT max(t) // 2 FROM raw) GROUP BY d")
 def s6_carry_before_window(spark, sf_dir):
     dump = _bus(spark, sf_dir)
-    rows = sampling.log_slice(dump, [dump.signal("top.data")], 3000, 4000).filter("t < 3000")
+    middle = dump.time.end // 2
+    rows = sampling.log_slice(dump, [dump.signal("top.data")], middle, dump.time.end).filter(F.col("t") < middle)
     return rows.select("dump_id", "t", "bits")
 
 
@@ -147,16 +148,13 @@ SELECT pos, asked.t::BIGINT AS t, c_data AS data, c_valid AS valid FROM asked AS
 def a1_value_points(spark, sf_dir):
     dump = _bus(spark, sf_dir)
     refs = [dump.signal("top.data"), dump.signal("top.valid")]
-    frames = [state_at(dump, refs, t).select(F.lit(p).alias("pos"), F.lit(t).cast("long").alias("t"), F.col("c0").alias("data"), F.col("c1").alias("valid")) for p, t in enumerate((5000, 15, 5000, 120))]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return sampling.states_at(dump, refs, [5000, 15, 5000, 120]).select("pos", "t", F.col("c0").alias("data"), F.col("c1").alias("valid"))
 
 
 @query(f"WITH {_ctes()}, u AS (SELECT DISTINCT t FROM raw) SELECT t, lag(t) OVER (ORDER BY t) AS previous FROM u")
 def a4_previous_time(spark, sf_dir):
-    times = _bus(spark, sf_dir).changes.select("dump_id", "t").distinct().withColumn("bucket", F.expr(f"t div {sampling.BUCKET}"))
+    dump = _bus(spark, sf_dir)
+    times = sampling.ranged(dump.changes.select("dump_id", "t"), dump.cuts).distinct()
     return sampling.carried(times, {"previous": F.col("t")}, ["t"], before=True).select("t", "previous")
 
 

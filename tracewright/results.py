@@ -71,32 +71,60 @@ def to_jsonl(result: Result) -> Iterator[str]:
     def record(record_type: str, **more) -> str:
         nonlocal n
         n += 1
-        return json.dumps({"type": record_type, "seq": n - 1, **more}, ensure_ascii=False)
+        return json.dumps({"type": record_type, "seq": n - 1, "command": result.command, **more}, ensure_ascii=False)
 
-    yield record("begin", command=result.command, **({"context": result.context} if result.context else {}))
+    yield record("begin", **({"context": result.context} if result.context else {}))
     notes = ([Diagnostic("W0001", "limit disabled: --max=unlimited")] if result.limit is None and result.limited else []) + list(result.diagnostics)
-    shown = 0
+    shown, cut = 0, False
     frame = result.ordered() if result.limit is None else result.ordered().limit(result.limit + 1)
     for row in frame.toLocalIterator():
         if result.limit is not None and shown == result.limit:
             notes.append(Diagnostic("W0002", f"truncated output to {result.limit} entries (use --max to increase limit)"))
+            cut = True
             break
         yield record("item", item=result._shaped(row))
         shown += 1
     if not shown and result.empty:
         notes.append(Diagnostic("W0003", result.empty))
     for d in notes:
-        yield record("diagnostic", **{"kind": d.kind, "code": d.code, "message": d.message})
-    yield record("end", items=shown, truncated=any(d.code == "W0002" for d in notes))
+        yield record("diagnostic", diagnostic={"kind": d.kind, "code": d.code, "message": d.message})
+    yield record("end", summary={"items": shown, "diagnostics": len(notes), "truncated": cut})
 
 
 def to_text(result: Result) -> tuple[list[str], list[str]]:
     """Lines for people, and the diagnostics as lines for stderr."""
     data, notes = result.rows()
-    lines = [f"{k}: {v}" for k, v in result.context.items()] + [_line(result.command, r) for r in data]
+    shown = PROTOCOL_LABELS.get(result.command)
+    lines = _protocol(result.context, data, *shown) if shown else [_line(result.command, r) for r in data]
     return lines, [f"{d.kind}: {d.code}: {d.message}" for d in notes]
 
 
+#: How protocols show their rows: the title of the list, and the fields of a row's label.
+PROTOCOL_LABELS = {
+    "extract ahb": ("events", ("event", "transfer", "direction")),
+    "extract apb": ("events", ("event", "direction")),
+    "extract atb": ("events", ("event",)),
+    "extract axi": ("transfers", ("channel",)),
+    "extract axistream": ("transfers", ()),
+}
+
+
+def _protocol(context: dict, rows: list[dict], title: str, label: tuple[str, ...]) -> list[str]:
+    """The context line by line, its mappings, and a line for each row."""
+    lines = []
+    for k, v in context.items():
+        if k == "mappings":
+            lines += ["mappings:", *(f"  {standard} = {name}" for standard, name in v.items())]
+        else:
+            lines.append(f"{k}: {v['state'] if isinstance(v, dict) else str(v).lower() if isinstance(v, bool) else v}")
+    lines.append(f"{title}:")
+    for r in rows:
+        words = list(dict.fromkeys(r[k] for k in label if r.get(k)))  # an event that is its own transfer is named once
+        named = [f"[{' '.join(words)}]"] if words else []
+        lines.append(" ".join([f"@{r['time']}", f"sample@{r['sample_time']}", *named, *(f"{k}={v}" for k, v in r["payload"].items())]))
+    return lines
+
+
 def _line(command: str, row: dict) -> str:
     if command == "info":
         return "\n".join(f"{k}: {v}" for k, v in row.items())

@@ -60,7 +60,7 @@ def bus_of(events: DataFrame, fleet: bool = False) -> Dump:
     entries = [(n, p, "top", p.rpartition(".")[2], k, w, type_of(k, w, lab).kind, type_of(k, w, lab).four, type_of(k, w, lab).signed, lab) for n, (p, k, w, lab) in enumerate(BUS)]
     scopes = spark.createDataFrame([("top", ["top"], 0, "module")], "path string, parts array<string>, depth int, kind string")
     bounds = Timebase(1, "ns", 0, 0 if end is None else end * 10 + 10)
-    return Dump(live.unionByName(seed), spark.createDataFrame(entries, SIGNALS), scopes, meta, known_signals(entries), bounds)
+    return Dump(live.unionByName(seed), spark.createDataFrame(entries, SIGNALS), scopes, meta, known_signals(entries), bounds, events.select((F.col("event_id") * 10 + 10).alias("t")))
 
 
 def hierarchy_dump(spark: SparkSession, sf_dir: str) -> Dump:

@@ -8,12 +8,24 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dump import META, SCOPES, SIGNALS, Dump, known_signals, type_of
+from ..dump import META, SCOPE_KINDS, SCOPES, SIGNAL_KINDS, SIGNALS, Dump, known_signals, type_of
 from ..errors import WaveError
 from ..functions.timebase import Timebase
 
 #: Spellings of kinds that differ from the stable ones.
-KINDS = {"shortint": "short_int", "longint": "long_int", "shortreal": "short_real", "realtime": "real_time", "triand": "tri_and", "trior": "tri_or", "trireg": "tri_reg", "real_parameter": "real_parameter", "bit_vector": "bit_vector"}
+KINDS = {
+    "shortint": "short_int",
+    "longint": "long_int",
+    "shortreal": "short_real",
+    "realtime": "real_time",
+    "realparameter": "real_parameter",
+    "sparray": "sparse_array",
+    "event_parameter": "parameter",
+    "std_logic": "logic",
+    "std_ulogic": "logic",
+    "std_logic_vector": "bit_vector",
+    "std_ulogic_vector": "bit_vector",
+}
 UNITS = ("s", "ms", "us", "ns", "ps", "fs")
 
 
@@ -42,13 +54,14 @@ def parse_header(text: str) -> tuple[int, str, list[tuple], list[tuple], dict[st
         elif w == "$scope":
             kind, name = until_end()[:2]
             path.append(name)
-            scopes.setdefault(".".join(path), kind)
+            scopes.setdefault(".".join(path), kind if kind in SCOPE_KINDS else "unknown")
         elif w == "$upscope":
             until_end()
             path.pop()
         elif w == "$var":
             kind, width, code, *name = until_end()
-            kind = KINDS.get(kind, kind)
+            kind = KINDS.get(kind.lower(), kind.lower())
+            kind = kind if kind in SIGNAL_KINDS else "unknown"
             full = name[0] if len(name) == 1 or re.fullmatch(r"\[-?[0-9]+:-?[0-9]+\]", name[1]) else "".join(name)
             sig = codes.setdefault(code, len(codes))
             bits = None if kind in ("event", "string") else int(width)
