@@ -231,15 +231,19 @@ def _links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key", "least")
     met = written(keys.join(shared, "key"))
     centres = met.groupBy("id").agg(F.min("least").alias("centre"))
-    around = centres.join(centres.groupBy("centre").agg(F.count("*").alias("n")), "centre")
-    placed = written(around.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
+    counted = centres.join(centres.groupBy("centre").agg(F.count("*").alias("n")), "centre")
+    first = written(counted.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
+
+    placed = first
+    own = written(sets.select("id", "set_low").join(placed.select("id"), "id", "left_semi"))
+    texts = written(docs.withColumnRenamed("doc_id", "id").join(own, "id").withColumn("of", F.xxhash64("text")).dropDuplicates(["id", "of"]).drop("of"))  # one row for each different text of a doc_id
 
     hot = placed.filter(F.col("n") > BLOCK)
     star = None
     if hot.limit(1).count():
         tasks = hot.select(F.xxhash64("centre", "salt").alias("task"), "centre", "id")
         with_centre = tasks.unionByName(tasks.select("task", "centre", F.col("centre").alias("id"))).distinct()
-        star = written(_to_centre(with_centre.join(_texts(docs, sets, with_centre), "id"), percent))
+        star = written(_to_centre(with_centre.join(texts, "id"), percent))
         hub = star.select(F.col("a").alias("id"), F.lit(True).alias("near")).distinct()
         placed = placed.join(hub, "id", "left").withColumn("near", F.coalesce("near", F.lit(False)) | ((F.col("id") == F.col("centre")) & (F.col("n") > BLOCK)))
     else:
@@ -252,20 +256,13 @@ def _links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tasks = pairs.select(F.xxhash64("block", "block_b").alias("task"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
     members = tasks.join(placed, "block").select("task", "id", F.when(F.col("near"), F.col("centre")).alias("hub"))
     close = written(_close(members.join(sets.select("id", "sign"), "id")))
-    links = _compared(close.join(_texts(docs, sets, close), "id"), percent)
+    links = _compared(close.join(texts, "id"), percent)
     out = written(links if star is None else links.unionByName(star))
-    for table in (met, placed, close):
+    for table in (met, first, own, texts, placed, close, *([] if star is None else [star])):
         discard(table)
     return out
 
 
-def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, text, set_low of the wanted ids: one row for each different text of a doc_id."""
-    own = sets.select("id", "set_low").join(wanted.select("id").distinct(), "id", "left_semi")
-    found = docs.withColumnRenamed("doc_id", "id").join(own, "id").withColumn("of", F.xxhash64("text"))
-    return found.dropDuplicates(["id", "of"]).select("id", "text", "set_low")
-
-
 def _to_centre(rows: DataFrame, percent: int) -> DataFrame:
     """Links to the centre alone: rows (task, centre, id, text, set_low)."""
 
@@ -306,7 +303,9 @@ def components(links: DataFrame) -> DataFrame:
         table = new
         if not new.filter("old <> label").limit(1).count():
             discard(edges)
-            return new.select("id", F.col("label").alias("component_id"))
+            out = written(new.select("id", F.col("label").alias("component_id")))
+            discard(new)
+            return out
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -328,9 +327,14 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     signs = known.groupBy("set_low", "set_high").agg(F.first("sign").alias("sign"))  # equal sets have equal signatures
     least = own.groupBy(F.col("own.set_low").alias("set_low"), F.col("own.set_high").alias("set_high")).agg(F.min("doc_id").alias("id"))
     sets = written(least.join(signs, ["set_low", "set_high"]))
-    found = components(_links(docs.filter("doc_id is not null"), sets, percent))
+    links = _links(docs.filter("doc_id is not null"), sets, percent)
+    found = components(links)
+    discard(links)
     owners = sets.select("set_low", "set_high", "id").join(found, "id", "left").select("set_low", "set_high", F.coalesce("component_id", "id").alias("component_id"))
     of = signed.select("doc_id", "n_shingles", "set_low", "set_high").join(own, "doc_id", "left")
     of = of.select("doc_id", "n_shingles", F.coalesce("own.set_low", "set_low").alias("set_low"), F.coalesce("own.set_high", "set_high").alias("set_high"))
     out = of.join(owners, ["set_low", "set_high"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = written(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    for table in (signed, sets, found):
+        discard(table)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
