@@ -235,15 +235,16 @@ def _links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = written(counted.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
 
     placed = first
-    own = written(sets.select("id", "set_low").join(placed.select("id"), "id", "left_semi"))
-    texts = written(docs.withColumnRenamed("doc_id", "id").join(own, "id").withColumn("of", F.xxhash64("text")).dropDuplicates(["id", "of"]).drop("of"))  # one row for each different text of a doc_id
+    low = sets.select("id", "set_low")
+    found = docs.withColumnRenamed("doc_id", "id").join(placed.select("id"), "id", "left_semi")
+    texts = written(found.withColumn("of", F.xxhash64("text")).dropDuplicates(["id", "of"]).drop("of"))  # one row for each different text of a doc_id
 
     hot = placed.filter(F.col("n") > BLOCK)
     star = None
     if hot.limit(1).count():
         tasks = hot.select(F.xxhash64("centre", "salt").alias("task"), "centre", "id")
         with_centre = tasks.unionByName(tasks.select("task", "centre", F.col("centre").alias("id"))).distinct()
-        star = written(_to_centre(with_centre.join(texts, "id"), percent))
+        star = written(_to_centre(with_centre.join(low, "id").join(texts, "id"), percent))
         hub = star.select(F.col("a").alias("id"), F.lit(True).alias("near")).distinct()
         placed = placed.join(hub, "id", "left").withColumn("near", F.coalesce("near", F.lit(False)) | ((F.col("id") == F.col("centre")) & (F.col("n") > BLOCK)))
     else:
@@ -256,9 +257,9 @@ def _links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tasks = pairs.select(F.xxhash64("block", "block_b").alias("task"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
     members = tasks.join(placed, "block").select("task", "id", F.when(F.col("near"), F.col("centre")).alias("hub"))
     close = written(_close(members.join(sets.select("id", "sign"), "id")))
-    links = _compared(close.join(texts, "id"), percent)
+    links = _compared(close.join(low, "id").join(texts, "id"), percent)
     out = written(links if star is None else links.unionByName(star))
-    for table in (met, first, own, texts, placed, close, *([] if star is None else [star])):
+    for table in (met, first, texts, placed, close, *([] if star is None else [star])):
         discard(table)
     return out
 
