@@ -128,8 +128,9 @@ def _values(spark: SparkSession, lines: DataFrame, codes: dict[str, int], signal
     """Value lines as changes: `0!`, `b01 !`, `r1.5 !`, `stext !`; short vectors extend by 0, x or z."""
     kind = F.lower(F.substring("line", 1, 1))
     long_form = kind.isin("b", "r", "s")
-    value = F.when(long_form, F.regexp_extract("line", r"^.(\S*)\s+\S+$", 1)).otherwise(F.substring("line", 1, 1))
-    code = F.when(long_form, F.regexp_extract("line", r"^\S*\s+(\S+)$", 1)).otherwise(F.expr("trim(substring(line, 2))"))
+    line = F.translate("line", "\t", " ")
+    value = F.when(long_form, F.expr("substring(substring_index(translate(line, '\t', ' '), ' ', 1), 2)")).otherwise(F.substring("line", 1, 1))
+    code = F.when(long_form, F.when(F.contains(line, F.lit(" ")), F.substring_index(line, " ", -1)).otherwise("")).otherwise(F.expr("trim(substring(line, 2))"))
     table = {}
     for sig, _, _, _, k, width, tk, *_ in signals:
         table.setdefault(sig, (k, width or 1, tk))
