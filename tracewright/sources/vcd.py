@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dump import META, SCOPE_KINDS, SCOPES, SIGNAL_KINDS, SIGNALS, Dump, known_signals, type_of
@@ -96,7 +96,7 @@ def read_vcd(spark: SparkSession, path: str) -> Dump:
     tick, unit, nodes, signals, codes = parse_header(head + " $enddefinitions")
     early = re.sub(r"^\s*\$end", "", early).strip()
     body = raw.filter(~F.col("value").contains("$enddefinitions"))
-    timed = body.select(F.regexp_extract("value", r"^\s*#?([0-9]+)", 1).cast("decimal(20,0)").alias("big"), "place", "value")
+    timed = body.select(F.regexp_extract(F.substring("value", 1, 32), r"^\s*#?([0-9]+)", 1).cast("decimal(20,0)").alias("big"), "place", "value")
     bounds = timed.agg(F.min("big"), F.max("big"), F.count("*"), F.count_distinct("big")).first()
     if bounds[1] is not None and bounds[1] >= 1 << 63:
         raise WaveError("file", "times beyond 2^63 - 1 are not supported")
@@ -108,12 +108,13 @@ def read_vcd(spark: SparkSession, path: str) -> Dump:
         timed = timed.withColumn("again", F.row_number().over(W.partitionBy("t").orderBy("place")))
     else:
         timed = timed.withColumn("again", F.lit(1))
-    lines = timed.select("t", "again", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = timed.select("t", "again", F.posexplode(F.split(_spaced("value"), "\n")).alias("pos", "line"))
     if early:
-        begun = spark.createDataFrame([(start, 0, k + 1, x) for k, x in enumerate(early.splitlines())], "t long, again int, pos int, line string")
+        begun = spark.createDataFrame([(start, 0, k + 1, x.replace("\t", " ")) for k, x in enumerate(early.splitlines())], "t long, again int, pos int, line string")
         lines = lines.unionByName(begun)
     lines = lines.select("t", (F.col("again").cast("long") * (1 << 32) + F.col("pos")).alias("seq"), F.trim("line").alias("line")).filter("pos > 0 and line <> '' and not line like '$%'")
     changes = _values(spark, lines, codes, signals)
+    marks = timed.select("t", F.explode(F.sequence(F.lit(0), (F.length("value") / 64).cast("int"))).alias("part")).select("t")  # a mark for every few values
     return Dump(
         changes,
         spark.createDataFrame(signals, SIGNALS),
@@ -121,24 +122,30 @@ def read_vcd(spark: SparkSession, path: str) -> Dump:
         spark.createDataFrame([(0, tick, unit, start, end)], META),
         known_signals(signals),
         Timebase(tick, unit, start, end),
+        marks=marks,
     )
 
 
 def _values(spark: SparkSession, lines: DataFrame, codes: dict[str, int], signals: list[tuple]) -> DataFrame:
     """Value lines as changes: `0!`, `b01 !`, `r1.5 !`, `stext !`; short vectors extend by 0, x or z."""
-    kind = F.lower(F.substring("line", 1, 1))
-    long_form = kind.isin("b", "r", "s")
-    line = F.translate("line", "\t", " ")
-    value = F.when(long_form, F.expr("substring(substring_index(translate(line, '\t', ' '), ' ', 1), 2)")).otherwise(F.substring("line", 1, 1))
-    code = F.when(long_form, F.when(F.contains(line, F.lit(" ")), F.substring_index(line, " ", -1)).otherwise("")).otherwise(F.expr("trim(substring(line, 2))"))
     table = {}
     for sig, _, _, _, k, width, tk, *_ in signals:
         table.setdefault(sig, (k, width or 1, tk))
     ids = spark.createDataFrame([(c, s, table[s][1], table[s][2]) for c, s in codes.items()], "code string, sig_id long, width int, type_kind string")
-    rows = lines.select("t", "seq", kind.alias("kind"), value.alias("value"), code.alias("code")).join(ids, "code")
-    plain = F.translate(F.lower("value"), "huwl-", "xxxxx")
-    fill = F.when(F.substring(plain, 1, 1).isin("x", "z"), F.substring(plain, 1, 1)).otherwise("0")
-    full = F.when(F.length(plain) >= F.col("width"), F.expr("right(translate(lower(value), 'huwl-', 'xxxxx'), width)")).otherwise(F.concat(F.repeat(fill, F.col("width") - F.length(plain)), plain))
+    # each step reads the columns of the one before, so that no value is worked out twice
+    long_form = F.substring("line", 1, 1).isin(*"bBrRsS")
+    parts = lines.select(
+        "t", "seq",
+        F.when(long_form, F.expr("substring(substring_index(line, ' ', 1), 2)")).otherwise(F.substring("line", 1, 1)).alias("value"),
+        F.when(~long_form, F.expr("ltrim(substring(line, 2))")).when(F.contains("line", F.lit(" ")), F.substring_index("line", " ", -1)).otherwise("").alias("code"),
+    )
+    plain = F.lower("value")
+    for state in "huwl-":
+        plain = F.replace(plain, F.lit(state), F.lit("x"))
+    rows = parts.join(ids, "code").select("t", "seq", "sig_id", "width", "type_kind", "value", plain.alias("plain"))
+    first = F.substring("plain", 1, 1)
+    missing = F.col("width") - F.length("plain")
+    full = F.when(missing == 0, F.col("plain")).when(missing < 0, F.expr("right(plain, width)")).otherwise(F.concat(F.repeat(F.when(first.isin("x", "z"), first).otherwise("0"), missing), F.col("plain")))
     return rows.select(
         F.lit(0).cast("long").alias("dump_id"), "sig_id", "t", "seq",
         F.when(~F.col("type_kind").isin("real", "string", "event"), full).alias("bits"),
@@ -147,6 +154,11 @@ def _values(spark: SparkSession, lines: DataFrame, codes: dict[str, int], signal
     )
 
 
+def _spaced(text: str) -> Column:
+    """Text whose lines end in a newline alone and whose tabs are spaces."""
+    return F.replace(F.replace(F.col(text), F.lit("\r"), F.lit("")), F.lit("\t"), F.lit(" "))
+
+
 def stage(dump: Dump, path: str, buckets: int = 16) -> None:
     """Writes a dump as Parquet, its changes by signal and time, so that later queries read only what they name."""
     by = dump.changes.repartitionByRange(buckets, "sig_id", "t").sortWithinPartitions("sig_id", "t", "seq")
