@@ -17,6 +17,7 @@ from .protocols.mapping import pairs_of
 from .results import Result, to_json, to_jsonl, to_text, tree
 from .schemas import schema
 from .sources import documents
+from .sources.fst import read_fst
 from .sources.vcd import read_vcd, staged
 from .trace import Trace
 
@@ -31,7 +32,7 @@ def _open(path: str) -> Dump:
     spark = _session()
     low = path.lower()
     if low.endswith(".fst"):
-        raise WaveError("file", f"'{path}': FST input needs a reader that this build does not have; convert it to VCD")
+        return read_fst(spark, path)
     if low.endswith((".parquet", "/")):
         return staged(spark, path.rstrip("/"))
     return read_vcd(spark, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -70,6 +71,7 @@ class Dump:
     _known: dict[str, Signal | None] = field(default_factory=dict)
     bounds: Timebase | None = None  # what meta says, where that is known already
     marks: DataFrame | None = None  # a smaller frame whose t is spread over time like that of changes, where there is one
+    reading: Callable[[list[int], int, int], DataFrame] | None = None  # how a source reads only some signals and times, where it can
 
     @property
     def spark(self) -> SparkSession:
@@ -91,6 +93,13 @@ class Dump:
 
         return time_cuts(self.changes if self.marks is None else self.marks)
 
+    def slice(self, refs: Iterable[Signal], start: int, end: int) -> DataFrame:
+        """The changes of some signals at the times from start to end."""
+        ids = sorted({s.sig_id for s in refs})
+        own = self.changes if self.reading is None else self.reading(ids, start, end)
+        own = own.filter(F.col("sig_id").isin(ids) & (F.col("t") <= end))
+        return own if start <= self.time.start else own.filter(F.col("t") >= start)
+
     def find(self, path: str) -> Signal | None:
         """The signal of a path; looked up once."""
         if path not in self._known:

@@ -65,13 +65,11 @@ def value_column(signal: Signal) -> Column:
 
 def log_slice(dump: Dump, refs: list[Signal], start: int, end: int) -> DataFrame:
     """The changes a window needs: those inside, and of each signal the last one before it."""
-    ids = sorted({s.sig_id for s in refs})
-    own = dump.changes.filter(F.col("sig_id").isin(ids) & (F.col("t") <= end))
+    inside = dump.slice(refs, start, end)
     if start <= dump.time.start:
-        return own
-    inside = own.filter(F.col("t") >= start)
+        return inside
     columns = ["seq", "bits", "real", "str"]
-    last = own.filter(F.col("t") < start).groupBy("dump_id", "sig_id").agg(F.max_by(F.struct("t", *columns), F.struct("t", "seq")).alias("last"))
+    last = dump.slice(refs, dump.time.start, start - 1).groupBy("dump_id", "sig_id").agg(F.max_by(F.struct("t", *columns), F.struct("t", "seq")).alias("last"))
     return inside.unionByName(last.select("dump_id", "sig_id", "last.*").select(*inside.columns))
 
 
@@ -117,8 +115,7 @@ def states(dump: Dump, refs: list[Signal], start: int, end: int) -> States:
 
 def state_at(dump: Dump, refs: list[Signal], t: int) -> DataFrame:
     """One row for each dump: c<k>, the value of the k-th signal at t (events: whether it occurred then)."""
-    ids = sorted({s.sig_id for s in refs})
-    own = dump.changes.filter(F.col("sig_id").isin(ids) & (F.col("t") <= t))
+    own = dump.slice(refs, dump.time.start, t)
     out = [
         F.coalesce(F.max((F.col("sig_id") == s.sig_id) & (F.col("t") == t)), F.lit(False)).alias(f"c{k}")
         if s.type.kind == "event"
@@ -133,7 +130,7 @@ def states_at(dump: Dump, refs: list[Signal], times: list[int]) -> DataFrame:
     ids = sorted({s.sig_id for s in refs})
     asked = dump.meta.select("dump_id", F.posexplode(F.array(*(F.lit(t).cast("long") for t in times))).alias("pos", "t"))
     probes = asked.withColumn("sig_id", F.explode(F.array(*(F.lit(i).cast("long") for i in ids))))
-    found = as_of(probes, dump.changes.filter(F.col("sig_id").isin(ids) & (F.col("t") <= max(times))), cuts=dump.cuts)
+    found = as_of(probes, dump.slice(refs, dump.time.start, max(times)), cuts=dump.cuts)
     return found.groupBy("dump_id", "pos", "t").agg(*(F.max(F.when(F.col("sig_id") == s.sig_id, F.col("bits"))).alias(f"c{k}") for k, s in enumerate(refs)))
 
 
