@@ -332,6 +332,12 @@ def p5_axi_stream(spark, sf_dir):
     return _events_of(_bus(spark, sf_dir), buses.stream_sources(found, tready_mode="implicit-high"))
 
 
+@query(f"WITH {_ctes()} SELECT t, t - 1 AS sample_t, 'transfer' AS source, p_data AS data, p_addr AS addr FROM st WHERE {POSEDGE} AND {_UP} AND p_valid = '1' AND p_ready = '1'")
+def p5_axi_stream_mapped(spark, sf_dir):
+    found = {"aclk": "clk", "aresetn": "rst_n", "tvalid": "valid", "tready": "ready", "tdata": "data", "tid": "addr"}
+    return _events_of(_bus(spark, sf_dir), buses.stream_sources(found, tready_mode="mapped"))
+
+
 @query(f"""WITH {_ctes()}, g AS (SELECT t, p_rst_n AS rst, p_ready AS ready, p_htrans AS trans, p_valid AS wr, p_addr AS addr, p_data AS data FROM st WHERE {POSEDGE}),
 s AS (SELECT *, CASE WHEN rst = '0' THEN 'empty' WHEN rst <> '1' OR ready NOT IN ('0', '1') THEN 'desynchronized' WHEN ready = '0' THEN NULL
     WHEN trans IN ('10', '11') THEN 'pending ' || CASE wr WHEN '0' THEN 'read' WHEN '1' THEN 'write' ELSE 'unknown' END WHEN trans IN ('00', '01') THEN 'empty' ELSE 'desynchronized' END AS setter FROM g),
@@ -387,6 +393,8 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "f1_reference": ("data", _D),
     "f2_literals": ("{8'hf0, 4'bx0z1}", "'11110000x0z1'"),
     "f3_enum_label": ("state == type(state)::purchase", "CASE WHEN c_state = '010' THEN '1' ELSE '0' END"),
+    "f4_group": ("(addr) & (8'hf0 | 8'h01)", "left(c_addr, 4) || '000' || right(c_addr, 1)"),
+    "f10_type_cast": ("type(addr)'(data)", "right(c_data, 8)"),
     "f5_sign_cast": ("signed'(addr) < 8'sh0", "CASE WHEN c_addr LIKE '1%' THEN '1' ELSE '0' END"),
     "f6_resize_cast": ("bit[20]'(data)", "repeat('0', 4) || translate(c_data, 'xz', '00')"),
     "f6_sign_extend": ("logic[12]'(signed'(addr))", "repeat(left(c_addr, 1), 4) || c_addr"),
